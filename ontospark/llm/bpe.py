@@ -2,11 +2,12 @@
 
 A BPE vocabulary with word ends merges inside pre-tokens ("words") only, so a
 text's ids are its words' ids in order. Texts are dealt into blocks of a few
-MB; each block gives its distinct words, every distinct word of the corpus is
-encoded once, the ids go back to the blocks that hold the word, and each block
-puts them at the words' positions. What is shuffled is the texts once and the
-blocks' vocabularies, not word occurrences. Decoding joins ids to the pieces
-of the vocabulary, which has a fixed number of rows.
+MB; each block gives its distinct words, cut into lists by the words' hash. The
+lists of one hash bucket meet, every distinct word of the corpus is encoded
+once, and the ids go back to the blocks, which put them at the words'
+positions. What is shuffled is the compressed texts once and the blocks'
+compressed vocabularies, not word occurrences. Decoding joins ids to the
+pieces of the vocabulary, which has a fixed number of rows.
 
 Null and empty texts have no ids and decode to the empty string. Rows are
 kept as they are, repeated ones too; a null id is an id like any other. Ids
@@ -25,8 +26,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: UTF-8 bytes of text per block, on average.
 BLOCK_BYTES = 4 << 20
@@ -113,62 +118,128 @@ def _pieces(path: str) -> np.ndarray:
     return table
 
 
-def _block_words(path: str):
+def _pack(parts: list[np.ndarray | bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(bytes(x) for x in parts))
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+def _dealt_texts(blocks: int, schema: pa.Schema):
+    """Rows ``(block, docs)``: the rows of a batch that belong to one block, compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner = batch.column(0).to_numpy()
+            order = np.argsort(owner, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0]) if len(order) else []
+            for a, b in zip(starts, [*starts[1:], len(order)]):
+                part = batch.take(pa.array(order[a:b])).select([1, 2])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, schema) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays(part.columns, schema=schema))
+                yield pa.RecordBatch.from_arrays([pa.array([owner[order[a]]], pa.int64()), pa.array([_pack([sink.getvalue()])], pa.binary())], names=["block", "docs"])
+
+    return run
+
+
+def _texts(docs: bytes) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
+    table = pa.ipc.open_stream(_unpack(docs)).read_all()
+    return table.column(0), table.column(1)
+
+
+def _word_lists(words: set[str], buckets: int) -> dict[int, list[str]]:
+    """Words by bucket and sorted, so that whoever has the same words gets the same lists."""
+    lists: dict[int, list[str]] = {}
+    digest = xxhash.xxh32_intdigest
+    for word in words:
+        lists.setdefault(digest(word) % buckets, []).append(word)
+    for some in lists.values():
+        some.sort()
+    return lists
+
+
+def _block_words(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(path)
         found: dict[int, set[str]] = {}
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                found.setdefault(block, set()).update(split(text.as_py()))
-        for block, words in found.items():
-            words = list(words)
-            for at in range(0, len(words), ROWS):
-                part = words[at : at + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
+            for block, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = found.setdefault(block, set())
+                for text in _texts(docs.as_py())[1]:
+                    words.update(split(text.as_py()))
+        while found:
+            block, words = found.popitem()
+            for bucket, some in _word_lists(words, buckets).items():
+                # No pre-token of this kind holds a line break, as white space is never part of one.
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(["\n".join(some).encode()])], pa.binary())], names=["block", "bucket", "words"])
 
     return run
 
 
-def _word_ids(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_ids(path: str):
+    """Encode each distinct word of a bucket once, and give every block the ids of its list in the list's order."""
+
+    def run(table: pa.Table) -> pa.Table:
         tok = _word_tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+        lists = [_unpack(x.as_py()).decode().split("\n") for x in table.column("words")]
+        index: dict[str, int] = {}
+        for some in lists:
+            for word in some:
+                index.setdefault(word, len(index))
+        words, ids = list(index), []
+        for at in range(0, len(words), ROWS):
+            ids.extend(np.array(e.ids, "<u4") for e in tok.encode_batch(words[at : at + ROWS], add_special_tokens=False))
+        out = []
+        for some in lists:
+            own = [ids[index[w]] for w in some]
+            out.append(_pack([np.fromiter(map(len, own), "<u4", len(own)), np.concatenate(own)]))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     return run
 
 
-def _assemble(path: str):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+def _assemble(path: str, buckets: int, id_type: pa.DataType):
+    def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         split = _splitter(path)
-        index = {w: k for k, w in enumerate(words.column("word").to_pylist())}
-        coded = words.column("ids").to_pylist()
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        parts = [_texts(x.as_py()) for x in docs.column("docs")]
+        words: set[str] = set()
+        for _, texts in parts:
+            for text in texts:
+                words.update(split(text.as_py()))
+        lists = _word_lists(words, buckets)
+        index: dict[str, int] = {}
+        lengths, flat = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
+        for bucket, data in zip(coded.column("bucket").to_pylist(), coded.column("ids")):
+            values = np.frombuffer(_unpack(data.as_py()), "<u4")
+            some = lists.pop(bucket)
+            index.update(zip(some, range(len(index), len(index) + len(some))))
+            lengths.append(values[: len(some)])
+            flat.append(values[len(some) :])
+        length, ids = np.concatenate(lengths).astype(np.int64), np.concatenate(flat)
         start = np.cumsum(length) - length
-        texts, out = docs.column("text"), []
-        at, todo, size = 0, [], 0
+        out, todo, size = [], [], 0
 
         def flush() -> None:
             codes = np.fromiter(map(index.__getitem__, chain.from_iterable(todo)), np.int64)
             many = length[codes]
             end = np.cumsum(many)
-            ids = flat[np.repeat(start[codes] - (end - many), many) + np.arange(end[-1] if len(end) else 0)]
+            found = ids[np.repeat(start[codes] - (end - many), many) + np.arange(end[-1] if len(end) else 0)]
             bounds = np.r_[0, end][np.cumsum([0, *map(len, todo)])].tolist()
-            out.extend(ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
+            out.extend(found[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
             todo.clear()
 
-        for at in range(len(texts)):
-            todo.append(split(texts[at].as_py()))
-            size += len(todo[-1])
-            if size >= ROWS:
-                flush()
-                size = 0
+        for _, texts in parts:
+            for text in texts:
+                todo.append(split(text.as_py()))
+                size += len(todo[-1])
+                if size >= ROWS:
+                    flush()
+                    size = 0
         flush()
-        return pa.table({"id": docs.column("id"), "ids": pa.array(out, pa.binary())})
+        of = pa.chunked_array([c for i, _ in parts for c in i.chunks], id_type)
+        return pa.table({"id": of, "ids": pa.array(out, pa.binary())})
 
     return run
 
@@ -179,15 +250,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     A row's block follows from its id and text alone, so a task that runs again
     gives the same blocks.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-total // block_bytes))
-    dealt = slim.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text").repartition("block")
-    pairs = dealt.mapInArrow(_block_words(tokenizer_path), "block long, word string")
-    words = pairs.select("word").distinct().mapInArrow(_word_ids(tokenizer_path), "word string, ids binary")
-    coded = pairs.join(words, "word").select("block", "word", "ids")
-    return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path), f"id {kind}, ids binary")
+    schema = pa.schema([("id", to_arrow_type(kind)), ("text", pa.string())])
+    dealt = slim.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
+    dealt = dealt.mapInArrow(_dealt_texts(blocks, schema), "block long, docs binary").repartition("block")
+    lists = dealt.mapInArrow(_block_words(tokenizer_path, blocks), "block long, bucket int, words binary")
+    coded = lists.groupBy("bucket").applyInArrow(_bucket_ids(tokenizer_path), "block long, bucket int, ids binary")
+    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())])
+    return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, blocks, schema.field("id").type), out)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -212,6 +285,4 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
                 texts.append(None if ids is None else " ".join(pieces[np.frombuffer(ids, "<u4")].tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
