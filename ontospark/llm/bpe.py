@@ -34,13 +34,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: UTF-8 bytes of text per block, on average.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Rows per batch that a task hands on.
 ROWS = 1 << 16
 
 
-@functools.lru_cache(4)
-def _tokenizer(path: str):
+def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -53,9 +52,9 @@ def _tokenizer(path: str):
 @functools.lru_cache(4)
 def _word_tokenizer(path: str):
     """The tokenizer for words that are normalised already: normalising twice can differ from once."""
-    from tokenizers import Tokenizer, normalizers
+    from tokenizers import normalizers
 
-    out = Tokenizer.from_str(_tokenizer(path).to_str())
+    out = _load(path)
     out.normalizer = normalizers.Sequence([])
     return out
 
@@ -74,7 +73,7 @@ class Splitter:
     def __init__(self, path: str):
         import json
 
-        self.tok = _tokenizer(path)
+        self.tok = _load(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = regex.compile("(" + "|".join(sorted((regex.escape(x["content"]) for x in spec["added_tokens"]), key=len, reverse=True)) + ")") if spec["added_tokens"] else None
@@ -111,7 +110,7 @@ def _splitter(path: str) -> Splitter:
 
 @functools.lru_cache(4)
 def _pieces(path: str) -> np.ndarray:
-    tok = _tokenizer(path)
+    tok = _load(path)
     table = np.full(max(tok.get_vocab(True).values()) + 1, "", object)
     for piece, k in tok.get_vocab(True).items():
         table[k] = piece
@@ -204,11 +203,8 @@ def _assemble(path: str, buckets: int, id_type: pa.DataType):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         split = _splitter(path)
         parts = [_texts(x.as_py()) for x in docs.column("docs")]
-        words: set[str] = set()
-        for _, texts in parts:
-            for text in texts:
-                words.update(split(text.as_py()))
-        lists = _word_lists(words, buckets)
+        cut = [split(text.as_py()) for _, texts in parts for text in texts]
+        lists = _word_lists(set(chain.from_iterable(cut)), buckets)
         index: dict[str, int] = {}
         lengths, flat = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
         for bucket, data in zip(coded.column("bucket").to_pylist(), coded.column("ids")):
@@ -230,13 +226,12 @@ def _assemble(path: str, buckets: int, id_type: pa.DataType):
             out.extend(found[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
             todo.clear()
 
-        for _, texts in parts:
-            for text in texts:
-                todo.append(split(text.as_py()))
-                size += len(todo[-1])
-                if size >= ROWS:
-                    flush()
-                    size = 0
+        for words in cut:
+            todo.append(words)
+            size += len(words)
+            if size >= ROWS:
+                flush()
+                size = 0
         flush()
         of = pa.chunked_array([c for i, _ in parts for c in i.chunks], id_type)
         return pa.table({"id": of, "ids": pa.array(out, pa.binary())})
