@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontospark.llm import bpe, decontaminate, langid, simhash, toxicity
-from ontospark.llm.queries import digest_tokens, tokenizer_path
+from ontospark.llm import decontaminate, langid, simhash, toxicity
+from ontospark.llm.queries import digest_tokens
 from ontospark.runtime import materialize
 
 
@@ -39,8 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token counts and digests of their ids and decoded texts."""
-    path = tokenizer_path()
-    return digest_tokens(bpe.encode(docs, path), path)
+    return digest_tokens(docs)
 
 
 STAGES = [

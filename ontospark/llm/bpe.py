@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: UTF-8 bytes of text per block, on average.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Rows per batch that a task hands on.
 ROWS = 1 << 16
 
@@ -199,7 +199,12 @@ def _bucket_ids(path: str):
     return run
 
 
-def _assemble(path: str, buckets: int, id_type: pa.DataType):
+def _join_pieces(path: str, packed: list[bytes | None]) -> pa.Array:
+    pieces = _pieces(path)
+    return pa.array([None if ids is None else " ".join(pieces[np.frombuffer(ids, "<u4")].tolist()) for ids in packed], pa.string())
+
+
+def _assemble(path: str, buckets: int, id_type: pa.DataType, decoded: bool):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         split = _splitter(path)
         parts = [_texts(x.as_py()) for x in docs.column("docs")]
@@ -234,14 +239,17 @@ def _assemble(path: str, buckets: int, id_type: pa.DataType):
                 size = 0
         flush()
         of = pa.chunked_array([c for i, _ in parts for c in i.chunks], id_type)
-        return pa.table({"id": of, "ids": pa.array(out, pa.binary())})
+        coded_rows = {"id": of, "ids": pa.array(out, pa.binary())}
+        return pa.table(coded_rows | ({"decoded": _join_pieces(path, out)} if decoded else {}))
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """``(id, ids)``: for each row of ``docs`` the ids of its whole text, packed.
 
+    ``decoded`` adds a column of that name with what ``decode`` makes of the
+    ids, in the same task.
     A row's block follows from its id and text alone, so a task that runs again
     gives the same blocks.
     """
@@ -254,8 +262,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     dealt = dealt.mapInArrow(_dealt_texts(blocks, schema), "block long, docs binary").repartition("block")
     lists = dealt.mapInArrow(_block_words(tokenizer_path, blocks), "block long, bucket int, words binary")
     coded = lists.groupBy("bucket").applyInArrow(_bucket_ids(tokenizer_path), "block long, bucket int, ids binary")
-    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())])
-    return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, blocks, schema.field("id").type), out)
+    text = [T.StructField("decoded", T.StringType())] if decoded else []
+    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), *text])
+    return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, blocks, schema.field("id").type, decoded), out)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -272,12 +281,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(tokenizer_path)
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                ids = ids.as_py()
-                texts.append(None if ids is None else " ".join(pieces[np.frombuffer(ids, "<u4")].tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _join_pieces(tokenizer_path, batch.column(at).to_pylist())], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

@@ -23,10 +23,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def digest_tokens(encoded: DataFrame, path: str) -> DataFrame:
-    """Packed ids and their decoded text as counts and digests."""
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
+def digest_tokens(docs: DataFrame) -> DataFrame:
+    """The documents' packed ids and their decoded text as counts and digests."""
+    encoded = bpe.encode(docs, tokenizer_path(), decoded=True)
+    return encoded.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -35,8 +35,7 @@ def digest_tokens(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return digest_tokens(bpe.encode(_read(spark, sf_dir, "documents"), path), path)
+    return digest_tokens(_read(spark, sf_dir, "documents"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
