@@ -71,6 +71,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     order = Window.partitionBy("_lang").orderBy("_rank", "_id")
     ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).withColumn("_rank", F.xxhash64("_id"))
+    # A hash threshold leaves each language about as many ids as are wanted, so none is sorted whole.
+    counts = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    ids = ids.join(F.broadcast(counts) if counts.count() <= MAX_LANGUAGES else counts, "_lang")
+    ids = ids.where(F.pmod("_rank", F.lit(1 << 30)) < F.lit(1.5 * (1 << 30) * sample) / F.col("_n"))
     chosen = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id", "_lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

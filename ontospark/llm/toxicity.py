@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from ontospark.llm.words import chunks, scan
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 8_000
 #: Slots that words are hashed to.
 SLOTS = 1 << 18
 #: Lengths in bytes of the words' beginnings that count.
@@ -78,17 +78,18 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     if not bags or labels.min() == labels.max():
         return Model(np.zeros(SLOTS), 30.0 if len(bags) and labels[0] else -30.0)
     positive = labels.astype(float)
-    owner = np.repeat(np.arange(len(bags)), [len(s) for s, _ in bags])
-    slots, local = np.concatenate([s for s, _ in bags]), np.concatenate([k for _, k in bags])
-    once = np.unique(owner * SLOTS + slots)
-    seen = [np.bincount(once[positive[once // SLOTS] == y] % SLOTS, minlength=SLOTS) for y in (0, 1)]
+    seen = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    for (slots, _), label in zip(bags, labels.tolist()):
+        seen[int(label > 0)][np.unique(slots)] += 1
     rate_in = [(n + 0.5) / (np.sum(positive == y) + 1) for y, n in enumerate(seen)]
     useful = (seen[1] >= LEAST_DOCS) & (rate_in[1] >= LEAST_RATIO * rate_in[0])
-    keep = useful[slots]
-    # Sentences without any useful feature score the bias alone and are counted, not kept.
     total = np.array([k[-1] + 1 if len(k) else 0 for _, k in bags])
-    used, slots = np.unique(slots[keep], return_inverse=True)
-    place, sentence = np.unique(owner[keep] * (1 << 32) + local[keep], return_inverse=True)
+    fits = [useful[s] for s, _ in bags]
+    owner = np.repeat(np.arange(len(bags)), [int(f.sum()) for f in fits])
+    slots, local = (np.concatenate([b[n][f].astype(np.int64) for b, f in zip(bags, fits)]) for n in (0, 1))
+    # Sentences without any useful feature score the bias alone and are counted, not kept.
+    used, slots = np.unique(slots, return_inverse=True)
+    place, sentence = np.unique(owner * (1 << 32) + local, return_inverse=True)
     bag = place >> 32
     empty = total - np.bincount(bag, minlength=len(bags))
     w, b = np.zeros(len(used)), -np.log(max(1.0, total.mean()) * 4)
@@ -128,10 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col(text_col).alias("text"), "_label")
     # Repeated rows of a chosen id could exceed the bound.
-    rows = texts.mapInArrow(run, "slots binary, first binary, label int").limit(2 * sample).collect()
-    rows = sorted((r for r in rows if len(r["slots"])), key=lambda r: (r["slots"], r["label"]))  # sums don't depend on the tasks' order
-    bags = [(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["first"], "<i4").astype(np.int64)) for r in rows]
-    return fit(bags, np.array([r["label"] for r in rows]))
+    found = texts.mapInArrow(run, "slots binary, first binary, label int").limit(2 * sample).toLocalIterator()
+    rows = [(bytes(r["slots"]), bytes(r["first"]), r["label"]) for r in found if len(r["slots"])]
+    rows.sort(key=lambda r: r[::2])  # sums don't depend on the tasks' order
+    return fit([(np.frombuffer(s, "<i4"), np.frombuffer(k, "<i4")) for s, k, _ in rows], np.array([y for _, _, y in rows]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
