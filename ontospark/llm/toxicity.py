@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontospark.llm.words import chunks, scan
+from ontospark.runtime import materialize
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 8_000
@@ -73,21 +74,21 @@ def document_scores(model: Model, texts: list[str | None]) -> np.ndarray:
     return -np.expm1(-survive)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, l1: float = 2e-5) -> Model:
-    """Weights from ``(features, their sentences)`` per document, by proximal Adam on the noisy-or likelihood."""
+def useful_slots(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which slots get a weight, by the number of toxic and clean documents that have them."""
+    return (toxic >= LEAST_DOCS) & ((toxic + 0.5) / (n_toxic + 1) >= LEAST_RATIO * (clean + 0.5) / (n_clean + 1))
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, labels: np.ndarray, rounds: int = 200, rate: float = 0.1, l1: float = 2e-5) -> Model:
+    """Weights by proximal Adam on the noisy-or likelihood, from each document's useful slots, the sentences they are in, and its number of sentences.
+
+    Sentences without a useful slot score the bias alone and are only counted.
+    """
     if not bags or labels.min() == labels.max():
         return Model(np.zeros(SLOTS), 30.0 if len(bags) and labels[0] else -30.0)
     positive = labels.astype(float)
-    seen = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
-    for (slots, _), label in zip(bags, labels.tolist()):
-        seen[int(label > 0)][np.unique(slots)] += 1
-    rate_in = [(n + 0.5) / (np.sum(positive == y) + 1) for y, n in enumerate(seen)]
-    useful = (seen[1] >= LEAST_DOCS) & (rate_in[1] >= LEAST_RATIO * rate_in[0])
-    total = np.array([k[-1] + 1 if len(k) else 0 for _, k in bags])
-    fits = [useful[s] for s, _ in bags]
-    owner = np.repeat(np.arange(len(bags)), [int(f.sum()) for f in fits])
-    slots, local = (np.concatenate([b[n][f].astype(np.int64) for b, f in zip(bags, fits)]) for n in (0, 1))
-    # Sentences without any useful feature score the bias alone and are counted, not kept.
+    owner = np.repeat(np.arange(len(bags)), [len(s) for s, _ in bags])
+    slots, local = (np.concatenate([b[n].astype(np.int64) for b in bags]) for n in (0, 1))
     used, slots = np.unique(slots, return_inverse=True)
     place, sentence = np.unique(owner * (1 << 32) + local, return_inverse=True)
     bag = place >> 32
@@ -121,18 +122,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
-                slots, first, _, _ = sentences([text.as_py()])
+                slots, first, many, _ = sentences([text.as_py()])
                 number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(slots)])) if len(first) else first
                 # Each feature of a sentence once: what a repeated word says twice adds nothing here.
                 once = np.unique(number[:, None] * SLOTS + slots)
-                yield pa.RecordBatch.from_arrays([pa.array([(once % SLOTS).astype("<i4").tobytes()]), pa.array([(once // SLOTS).astype("<i4").tobytes()]), pa.array([label.as_py()], pa.int32())], names=["slots", "first", "label"])
+                packed = [pa.array([x.astype("<i4").tobytes()]) for x in (once % SLOTS, once // SLOTS)]
+                yield pa.RecordBatch.from_arrays([*packed, pa.array(many.astype(np.int32)), pa.array([label.as_py()], pa.int32())], names=["slots", "sentence", "total", "label"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, SLOTS), np.int64)
+        for batch in batches:
+            for slots, label in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                seen[int(label > 0)][np.unique(np.frombuffer(slots, "<i4"))] += 1
+        at = np.flatnonzero(seen.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1][at]), pa.array(seen[0][at])], names=["slot", "toxic", "clean"])
 
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col(text_col).alias("text"), "_label")
     # Repeated rows of a chosen id could exceed the bound.
-    found = texts.mapInArrow(run, "slots binary, first binary, label int").limit(2 * sample).toLocalIterator()
-    rows = [(bytes(r["slots"]), bytes(r["first"]), r["label"]) for r in found if len(r["slots"])]
-    rows.sort(key=lambda r: r[::2])  # sums don't depend on the tasks' order
-    return fit([(np.frombuffer(s, "<i4"), np.frombuffer(k, "<i4")) for s, k, _ in rows], np.array([y for _, _, y in rows]))
+    rows = materialize(texts.mapInArrow(run, "slots binary, sentence binary, total int, label int").limit(2 * sample), "features")
+    many = {int(r["label"] > 0): r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = rows.repartition(4).mapInArrow(count, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    useful = np.zeros(SLOTS, bool)
+    for r in counts.where(F.col("toxic") >= LEAST_DOCS).collect():
+        useful[r["slot"]] = useful_slots(np.int64(r["toxic"]), np.int64(r["clean"]), many.get(1, 0), many.get(0, 0))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list[bytes], list[bytes]] = ([], [])
+            for slots, sentence in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                slots, sentence = np.frombuffer(slots, "<i4"), np.frombuffer(sentence, "<i4")
+                out[0].append(slots[useful[slots]].tobytes())
+                out[1].append(sentence[useful[slots]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), *batch.columns[2:]], names=batch.schema.names)
+
+    found = [(bytes(r["slots"]), bytes(r["sentence"]), r["total"], r["label"]) for r in rows.mapInArrow(keep, rows.schema).collect() if r["total"]]
+    found.sort()  # sums don't depend on the tasks' order
+    bags = [(np.frombuffer(s, "<i4"), np.frombuffer(k, "<i4")) for s, k, _, _ in found]
+    return fit(bags, np.array([t for _, _, t, _ in found]), np.array([y for _, _, _, y in found]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

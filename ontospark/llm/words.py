@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: UTF-8 bytes of text that a task works on at once, or one longer text.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
