@@ -29,6 +29,8 @@ MAX_DISTANCE = 3
 CHUNK = 1 << 17
 #: Members of one key that a single comparison block holds; larger keys are cut into blocks.
 TILE = 1024
+#: Fingerprints per task when their variants are made.
+SPREAD = 8192
 
 
 def _shingle_hashes(words: list[bytes], width: int, seed: int) -> list[int]:
@@ -174,7 +176,8 @@ def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     that size, and every pair of blocks is compared in a group of its own, so
     no task holds a key's whole group and no link is left out.
     """
-    rows = _variants(fps)
+    # A few rows become 64 each, so they are spread by their number first.
+    rows = _variants(fps.repartition(max(1, -(-fps.count() // SPREAD)), "fp"))
     low = F.shiftright("key", BITS) % BITS == 0
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     keys = keys.where((F.col("n") > 1) & (low | (F.col("s0") < F.col("s1")))).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
@@ -203,6 +206,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = simhash_components(docs, id_col, text_col)
     kept = found.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_n"))
+    kept = materialize(kept, "kept")
+    if kept.where("_n > 1").isEmpty():  # the usual case: ids are unique
+        chosen = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+        return chosen.unionByName(docs.where(docs[id_col].isNull()))
     marked = docs.join(kept, docs[id_col] == kept["_kept_id"], "left")
     once = marked.where(docs[id_col].isNull() | (F.col("_n") == 1)).drop("_kept_id", "_n")
     repeated = marked.where(F.col("_n") > 1).drop("_kept_id", "_n").dropDuplicates([id_col])
