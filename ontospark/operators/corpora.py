@@ -122,7 +122,7 @@ def weighted_sample(df: DataFrame, keys: list[str], weight: str, n: int, seed: i
 def normalised_weights(df: DataFrame, weight: str, group: list[str] | None = None) -> DataFrame:
     """``df`` with ``share``: the weight over its group's (or the table's) sum."""
     total = df.groupBy(*(group or [])).agg(F.sum(weight).alias("_sum"))
-    joined = df.join(total, group) if group else df.crossJoin(F.broadcast(total))
+    joined = df.join(total, group) if group else df.crossJoin(F.broadcast(total))  # one row
     return joined.withColumn("share", F.try_divide(F.col(weight), F.col("_sum"))).drop("_sum")
 
 
