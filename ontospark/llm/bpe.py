@@ -82,8 +82,10 @@ class Splitter:
         first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.known = first.get("pattern", {}).get("Regex") == self.KNOWN and first.get("invert") is True and kinds == ["NFC", "Replace", "Lowercase"]
-        self.odd = regex.compile("[^\t\n\r -~ -įı-ɏ]|<\\|").search
         latin = [chr(c) for c in [*range(32, 127), *range(0xA0, 0x250)]]
+        # Letters whose lower case is no single letter of the same range take the long way.
+        plain = "".join(re.escape(c) for c in latin if c.lower() in latin)
+        self.odd = re.compile(f"[^\t\n\r{plain}]|<\\|").search
         letters = "".join(c for c in latin if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in latin if unicodedata.category(c)[0] == "N")
         self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall

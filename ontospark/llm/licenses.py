@@ -75,7 +75,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     Dice the first in the list is a unit's best.
     """
     table = template_table(docs.sparkSession, templates)
-    ratio = (2 - threshold) / threshold
+    ratio = (2 - threshold) / threshold + 1e-9
     largest = table.agg(F.max("t_size").alias("n")).first()["n"] or 0
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     lines = F.split("text", "\n")
@@ -87,7 +87,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     each = units.select("id", "h", "unit", F.explode(sized).alias("e")).select("id", "h", "unit", "e.u_size", "e.bigram")
     near = (F.col("u_size") <= F.col("t_size") * ratio) & (F.col("t_size") <= F.col("u_size") * ratio)
     shared = each.join(F.broadcast(table), "bigram").where(near)
-    pairs = shared.groupBy("id", "h", "unit", "u_size", "template", "license", "t_size").agg(F.count("*").alias("shared"))
+    pairs = shared.groupBy("id", "h", "unit", "u_size", "template", "license", "t_size").agg(F.count_distinct("bigram").alias("shared"))  # repeated rows share a group
     dice = 2 * F.col("shared") / (F.col("u_size") + F.col("t_size"))
     hits = pairs.withColumn("dice", dice).where(F.col("dice") >= threshold)
     best = hits.groupBy("id", "h", "unit").agg(F.max_by(F.struct("license", "dice"), F.struct("dice", -F.col("template"))).alias("m"))

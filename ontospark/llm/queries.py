@@ -149,7 +149,7 @@ ORACLE_SQL: dict[str, str] = {
         docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
         units AS (SELECT k, unnest(CASE WHEN strpos(text, chr(10)) > 0 THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS part, unnest(range(0, len(string_split(text, chr(10))) + CASE WHEN strpos(text, chr(10)) > 0 THEN 1 ELSE 0 END)) AS u FROM docs WHERE text IS NOT NULL),
         pairs AS (SELECT k, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ub FROM (SELECT k, u, {_BIGRAMS % "part"} AS w FROM units) WHERE len(w) > 1),
-        dice AS (SELECT k, u, template, license, 2 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS d FROM pairs JOIN known ON 0.8 * len(ub) <= 1.2 * len(tb) AND 0.8 * len(tb) <= 1.2 * len(ub)),
+        dice AS (SELECT k, u, template, license, 2 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS d FROM pairs JOIN known ON 0.8 * len(ub) <= 1.2 * len(tb) + 1e-9 AND 0.8 * len(tb) <= 1.2 * len(ub) + 1e-9),
         best AS (SELECT k, u, license, d FROM dice WHERE d >= 0.8 QUALIFY row_number() OVER (PARTITION BY k, u ORDER BY d DESC, template) = 1),
         found AS (SELECT k, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS names, max(d) AS top FROM best GROUP BY k)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, CAST(top AS DOUBLE) AS best_score FROM docs LEFT JOIN found USING (k)""",

@@ -105,6 +105,11 @@ def _variants(fps: DataFrame) -> DataFrame:
     )
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; of signed numbers numpy would count those of the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _spanning_links(fp: np.ndarray, side: np.ndarray, first: bool, cross: np.ndarray | None) -> list[tuple[int, int]]:
     """Tree edges of the links within one block: breadth first, so each row is compared once with the rest.
 
@@ -118,7 +123,7 @@ def _spanning_links(fp: np.ndarray, side: np.ndarray, first: bool, cross: np.nda
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             k = todo.pop()
-            near = np.bitwise_count(fp[left] ^ fp[k]) <= MAX_DISTANCE
+            near = _distance(fp[left], fp[k]) <= MAX_DISTANCE
             if not first:
                 near &= side[left] != side[k]
             if cross is not None:
@@ -139,7 +144,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         pairs = starts[ends - starts == 2]
         x, y = t[pairs], t[pairs + 1]
-        fit = np.bitwise_count(x["fp"] ^ y["fp"]) <= MAX_DISTANCE
+        fit = _distance(x["fp"], y["fp"]) <= MAX_DISTANCE
         fit &= ((x["key"] >> BITS) % BITS == 0) | (x["side"] != y["side"])
         fit &= (x["i"] == x["j"]) | (x["tile"] != y["tile"])
         out.extend(zip(x["fp"][fit].tolist(), y["fp"][fit].tolist()))
