@@ -40,11 +40,14 @@ def idf_select(queries: DataFrame, targets: DataFrame, keys: int, pool: int = 20
 
     Both sides are ``(iri, literal)``. Counts are gathered before the join, so
     a token contributes one row per pair that shares it; ties go to the
-    smaller target.
+    smaller target. The queries' postings are dealt by source before that join
+    multiplies them: where the index is small enough for Spark to broadcast it,
+    sums and ranks then follow without another shuffle.
     """
     index = postings(targets, tokenise)
     weighted = index.join(token_idf(index, keys), "token").select("token", F.col("iri").alias("target"), (F.col("tf") * F.col("idf")).alias("w"))
-    asked = postings(queries, tokenise).select("token", F.col("iri").alias("source"), F.col("tf").alias("qf"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = postings(queries, tokenise).select("token", F.col("iri").alias("source"), F.col("tf").alias("qf")).repartition(parts, "source")
     scores = asked.join(weighted, "token").groupBy("source", "target").agg(F.round(F.sum(F.col("qf") * F.col("w")), digits).alias("score"))
     return top_per_source(scores, pool)
 
