@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay that have a language, and one that holds at least half of them."""
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("_row.*")
+    found = langid.identify(docs, langid.train(docs), prefix="_")
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= 0.5)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ontospark.llm.words import lean
+
 #: UTF-8 bytes of text per block, on average.
 BLOCK_BYTES = 4 << 20
 #: Rows per batch that a task hands on.
@@ -261,8 +263,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     blocks = max(1, -(-total // block_bytes))
     schema = pa.schema([("id", to_arrow_type(kind)), ("text", pa.string())])
     dealt = slim.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
-    dealt = dealt.mapInArrow(_dealt_texts(blocks, schema), "block long, docs binary").repartition("block")
-    lists = dealt.mapInArrow(_block_words(tokenizer_path, blocks), "block long, bucket int, words binary")
+    dealt = dealt.mapInArrow(lean(_dealt_texts(blocks, schema)), "block long, docs binary").repartition("block")
+    lists = dealt.mapInArrow(lean(_block_words(tokenizer_path, blocks)), "block long, bucket int, words binary")
     coded = lists.groupBy("bucket").applyInArrow(_bucket_ids(tokenizer_path), "block long, bucket int, ids binary")
     text = [T.StructField("decoded", T.StringType())] if decoded else []
     out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), *text])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontospark.llm.words import ODD, chunks, mix, scan
+from ontospark.llm.words import ODD, chunks, lean, mix, scan
 from ontospark.runtime import materialize
 
 SPAN = 10
@@ -148,15 +148,14 @@ def _local(slim: DataFrame, bench: DataFrame, span: int, schema: T.StructType) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Benchmark(shared.value, span)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                found = find_spans(texts[part], table)
+            for part, texts in chunks(batch.column(1)):
+                found = find_spans(texts, table)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part.start : part.stop], pa.array([n for n, _, _ in found], pa.int64()), pa.array([h for _, h, _ in found], pa.list_(pa.int64())), pa.array([sorted(i, key=str) for _, _, i in found], pa.list_(kind))],
                     names=schema.names,
                 )
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def _fingerprint_rows(df: DataFrame, sizes: list[int] | None, span: int) -> DataFrame:
@@ -164,10 +163,9 @@ def _fingerprint_rows(df: DataFrame, sizes: list[int] | None, span: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
+            for part, texts in chunks(batch.column(1)):
                 ids = batch.column(0).to_pylist()[part]
-                words, counts = hash_words([(t or "").encode() for t in texts[part]])
+                words, counts = hash_words([(t or "").encode() for t in texts])
                 last = np.cumsum(counts)
                 for size in sizes if sizes is not None else range(1, span + 1):
                     at, grams = winnow(words, counts, size)
@@ -179,7 +177,7 @@ def _fingerprint_rows(df: DataFrame, sizes: list[int] | None, span: int) -> Data
                     first = (last - counts)[owner] if len(at) else at
                     yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(at), size, np.int32)), pa.array(at - first), pa.array(grams.view(np.int64))], names=["row", "size", "at", "hash"])
 
-    return df.mapInArrow(run, "row long, size int, at long, hash long")
+    return df.mapInArrow(lean(run), "row long, size int, at long, hash long")
 
 
 def _shuffled(slim: DataFrame, bench: DataFrame, span: int, schema: T.StructType) -> DataFrame:
@@ -215,7 +213,7 @@ def _shuffled(slim: DataFrame, bench: DataFrame, span: int, schema: T.StructType
 
     def around(rows: DataFrame, prints: DataFrame) -> DataFrame:
         per_row = prints.groupBy("row").agg(F.collect_set(F.struct("size", "at")).alias("ats"))
-        return rows.join(per_row, "row").select("row", "text", "ats").mapInArrow(windows, kind)
+        return rows.join(per_row, "row").select("row", "text", "ats").mapInArrow(lean(windows), kind)
 
     item_windows = around(items.select("row", "text"), item_prints).join(items.select("row", "item"), "row").select("size", "window", "item").distinct()
     doc_windows = materialize(around(docs.select("row", "text"), hits), "windows")
@@ -224,7 +222,7 @@ def _shuffled(slim: DataFrame, bench: DataFrame, span: int, schema: T.StructType
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1))))).alias("hits"),
         F.collect_set("item").alias("items"),
     )
-    total = docs.select("row", "text").mapInArrow(counted, "row long, n_words long")
+    total = docs.select("row", "text").mapInArrow(lean(counted), "row long, n_words long")
     out = docs.select("row", "id").join(total, "row").join(per_doc, "row", "left")
     empty = F.array().cast(T.ArrayType(T.LongType()))
     return out.select("id", "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast(schema["items"].dataType)).alias("items"))
@@ -259,8 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Benchmark(shared.value, span)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            clean = [not hits for part in chunks(texts) for _, hits, _ in find_spans(texts[part], table)]
+            clean = [not hits for _, texts in chunks(batch.column(at)) for _, hits, _ in find_spans(texts, table)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

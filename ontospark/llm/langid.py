@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontospark.llm.toxicity import held_out
-from ontospark.llm.words import LOWER, chunks
+from ontospark.llm.words import LOWER, chunks, lean
 
 #: Documents of a language that its distribution is learned from, at most.
 SAMPLE_DOCS = 4000
@@ -80,9 +80,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in chunks(texts):
-                owner, slot, count = trigrams(texts[part])
+            langs = batch.column(0).to_pylist()
+            for part, texts in chunks(batch.column(1)):
+                owner, slot, count = trigrams(texts)
                 names = np.array(langs[part], object)
                 for name in set(langs[part]):
                     own = np.flatnonzero(names == name)
@@ -93,7 +93,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     texts = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(chosen), ["_id", "_lang"]).select(F.col("_lang").alias("lang"), "text")
     sums: dict[str, np.ndarray] = {}
-    for r in texts.repartition(8, F.xxhash64("text")).mapInArrow(run, "lang string, counts binary").toLocalIterator():
+    for r in texts.repartition(8, F.xxhash64("text")).mapInArrow(lean(run), "lang string, counts binary").toLocalIterator():
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "<f8")
         if len(sums) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -147,18 +147,21 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return best_name, best_score, sets
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``languages`` (the chosen set); columns of those names are replaced."""
-    docs = docs.drop(*({"lang_pred", "score", "languages"} - {text_col}))
+def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``languages`` (the chosen set); columns of those names are replaced.
+
+    ``prefix`` goes before the three names.
+    """
+    added = [prefix + n for n in ("lang_pred", "score", "languages")]
+    docs = docs.drop(*({*added} - {text_col}))
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for part in chunks(texts):
-                names, scores, sets = predict(shared.value, texts[part])
+            for part, texts in chunks(batch.column(at)):
+                names, scores, sets = predict(shared.value, texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(part.start, part.stop - part.start).columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=[*batch.schema.names, "lang_pred", "score", "languages"]
+                    [*batch.slice(part.start, part.stop - part.start).columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=[*batch.schema.names, *added]
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *map(T.StructField, added, [T.StringType(), T.DoubleType(), T.ArrayType(T.StringType())])]))

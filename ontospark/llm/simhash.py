@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontospark.llm.words import chunks, lean
 from ontospark.runtime import connected_components, materialize
 
 SEGMENTS, BITS = 2, 32
@@ -83,11 +84,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = text_fingerprints(batch.column(1).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+            for part, texts in chunks(batch.column(1)):
+                fp = text_fingerprints(texts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(fp)], names=["id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, fp long")
+    return slim.mapInArrow(lean(run), "id long, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     found = found.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "side", "fp")
     parts = found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return parts.mapInArrow(_link_blocks, "a long, b long")
+    return parts.mapInArrow(lean(_link_blocks), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

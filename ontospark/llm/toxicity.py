@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontospark.llm.words import chunks, scan
+from ontospark.llm.words import chunks, lean, scan
 from ontospark.runtime import materialize
 
 #: Labelled documents that the model is fitted on, at most.
@@ -139,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col(text_col).alias("text"), "_label")
     # Repeated rows of a chosen id could exceed the bound.
-    rows = materialize(texts.mapInArrow(run, "slots binary, sentence binary, total int, label int").limit(2 * sample), "features")
+    rows = materialize(texts.mapInArrow(lean(run), "slots binary, sentence binary, total int, label int").limit(2 * sample), "features")
     many = {int(r["label"] > 0): r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = rows.repartition(4).mapInArrow(count, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.repartition(4).mapInArrow(lean(count), "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     useful = np.zeros(SLOTS, bool)
     for r in counts.where(F.col("toxic") >= LEAST_DOCS).collect():
         useful[r["slot"]] = useful_slots(np.int64(r["toxic"]), np.int64(r["clean"]), many.get(1, 0), many.get(0, 0))
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out[1].append(sentence[useful[slots]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), *batch.columns[2:]], names=batch.schema.names)
 
-    found = [(bytes(r["slots"]), bytes(r["sentence"]), r["total"], r["label"]) for r in rows.mapInArrow(keep, rows.schema).collect() if r["total"]]
+    found = [(bytes(r["slots"]), bytes(r["sentence"]), r["total"], r["label"]) for r in rows.mapInArrow(lean(keep), rows.schema).collect() if r["total"]]
     found.sort()  # sums don't depend on the tasks' order
     bags = [(np.frombuffer(s, "<i4"), np.frombuffer(k, "<i4")) for s, k, _, _ in found]
     return fit(bags, np.array([t for _, _, t, _ in found]), np.array([y for _, _, _, y in found]))
@@ -168,12 +168,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for part in chunks(texts):
-                found = document_scores(shared.value, texts[part])
+            for part, texts in chunks(batch.column(at)):
+                found = document_scores(shared.value, texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(part.start, part.stop - part.start).columns, pa.array(found)], names=[*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -195,4 +194,4 @@ def offending_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int64()), pa.array(scores, pa.float64()), pa.array(found, pa.string())], names=["id", "sentence", "score", "text"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, T.StructType([slim.schema["id"], T.StructField("sentence", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType())]))
+    return slim.mapInArrow(lean(run), T.StructType([slim.schema["id"], T.StructField("sentence", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType())]))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: UTF-8 bytes of text that a task works on at once, or one longer text.
 CHUNK = 1 << 20
@@ -54,12 +58,26 @@ def scan(texts: list[bytes], heads: tuple[int, ...] = ()) -> Words:
     return Words(data, starts, ends, hashed(ends), np.diff(np.r_[0, np.searchsorted(starts, bounds)]), tuple(hashed(np.minimum(starts + n, ends)) for n in heads))
 
 
-def chunks(texts: list[str | None]) -> Iterator[slice]:
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= CHUNK:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def chunks(column: pa.Array) -> Iterator[tuple[slice, list[str | None]]]:
+    """Rows of a text column about ``CHUNK`` bytes at a time, so that a batch is never whole in Python's own strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+        yield slice(at, to), column.slice(at, to - at).to_pylist()
+        at = to
+
+
+def lean(run):
+    """A batch function that gives memory back when its task is over: idle Python workers count against the executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
