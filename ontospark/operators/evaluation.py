@@ -65,6 +65,29 @@ def rejection_rate(answers: DataFrame, unmatched: DataFrame, digits: int = 6) ->
     return found.agg(F.round(F.avg(F.when(F.coalesce("any", F.lit(False)), 0.0).otherwise(1.0)), digits).alias("RR"))
 
 
+def answered_metrics(candidates: DataFrame, reference: DataFrame, threshold: float = 0.0, ks: tuple[int, ...] = (1,), digits: int = 3) -> DataFrame:
+    """One row ``(P, R, F1, MRR, Hits_k, RR)`` of candidates ``(source, target, score, answer)`` of matched and unmatched sources.
+
+    Predicted is what is answered true at ``threshold`` or more. Sources without
+    a reference are the unmatched; the rejection rate is over them.
+    """
+    predicted = candidates.where(F.col("answer") & (F.col("score") >= threshold))
+    unmatched = candidates.select("source").distinct().join(reference.select("source").distinct(), "source", "left_anti")
+    ranked = ranking_metrics(ranks(candidates, reference), ks, digits)
+    parts = [precision_recall_f1(predicted, reference, digits=digits), ranked, rejection_rate(candidates.withColumn("answer", F.col("answer") & (F.col("score") >= threshold)), unmatched, digits)]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for part in parts[1:]:  # one row each
+        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
+def size_histogram(sizes: DataFrame, column: str) -> DataFrame:
+    """``(size, n)`` for every size from 0 to the largest, those that no row has included."""
+    counts = sizes.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("size")).agg(F.count("*").alias("_n"))
+    every = counts.agg(F.max("size").alias("m")).where("m is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("size"))
+    return every.join(counts, "size", "left").select("size", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
 def check_candidates(result: DataFrame, reference: DataFrame) -> DataFrame:
     """Faults in a ranking result ``(position, source, candidates)`` against its reference: no row means it fits."""
     r, g = result.alias("r"), reference.alias("g")

@@ -12,6 +12,48 @@ SUB, SUPER, TYPE = "http://subclassof", "http://superclassof", "http://type"
 EQUIVALENT = "http://equivalentto"
 RDFS_SUB = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
 QUANTIFIERS = ("some", "only", "min", "max")
+#: Properties whose literals become triples: names, synonyms, and other texts.
+LEXICAL = [
+    "http://www.w3.org/2000/01/rdf-schema#label",
+    "http://www.w3.org/2004/02/skos/core#prefLabel",
+    "rdfs:label",
+    "rdfs:comment",
+    "http://purl.obolibrary.org/obo/IAO_0000111",
+    "http://purl.obolibrary.org/obo/IAO_0000589",
+    "http://www.geneontology.org/formats/oboInOwl#hasRelatedSynonym",
+    "http://www.geneontology.org/formats/oboInOwl#hasExactSynonym",
+    "http://www.geneontology.org/formats/oboInOWL#hasExactSynonym",
+    "http://purl.bioontology.org/ontology/SYN#synonym",
+    "http://scai.fraunhofer.de/CSEO#Synonym",
+    "http://purl.obolibrary.org/obo/synonym",
+    "http://ncicb.nci.nih.gov/xml/owl/EVS/Thesaurus.owl#FULL_SYN",
+    "http://www.ebi.ac.uk/efo/alternative_term",
+    "http://ncicb.nci.nih.gov/xml/owl/EVS/Thesaurus.owl#Synonym",
+    "http://bioontology.org/projects/ontologies/fma/fmaOwlDlComponent_2_0#Synonym",
+    "http://www.geneontology.org/formats/oboInOwl#hasDefinition",
+    "http://bioontology.org/projects/ontologies/birnlex#preferred_label",
+    "http://bioontology.org/projects/ontologies/birnlex#synonyms",
+    "http://www.w3.org/2004/02/skos/core#altLabel",
+    "https://cfpub.epa.gov/ecotox#latinName",
+    "https://cfpub.epa.gov/ecotox#commonName",
+    "https://www.ncbi.nlm.nih.gov/taxonomy#scientific_name",
+    "https://www.ncbi.nlm.nih.gov/taxonomy#synonym",
+    "https://www.ncbi.nlm.nih.gov/taxonomy#equivalent_name",
+    "https://www.ncbi.nlm.nih.gov/taxonomy#genbank_synonym",
+    "https://www.ncbi.nlm.nih.gov/taxonomy#common_name",
+    "http://purl.obolibrary.org/obo/IAO_0000118",
+    "http://www.w3.org/2000/01/rdf-schema#comment",
+    "http://www.geneontology.org/formats/oboInOwl#hasDbXref",
+    "http://purl.org/dc/elements/1.1/description",
+    "http://purl.org/dc/terms/description",
+    "http://purl.org/dc/elements/1.1/title",
+    "http://purl.org/dc/terms/title",
+    "http://purl.obolibrary.org/obo/IAO_0000115",
+    "http://purl.obolibrary.org/obo/IAO_0000600",
+    "http://purl.obolibrary.org/obo/IAO_0000602",
+    "http://purl.obolibrary.org/obo/IAO_0000601",
+    "http://www.geneontology.org/formats/oboInOwl#hasOBONamespace",
+]
 
 
 def _triples(df: DataFrame, s, r, t) -> DataFrame:
@@ -61,7 +103,19 @@ def class_triples(onto: Ontology, bidirectional: bool = False, sub_roles: DataFr
     return taxonomy_triples(plain, bidirectional).union(restriction_triples(right.union(left), sub_roles, inverses)).distinct()
 
 
-def annotation_triples(annotations: DataFrame, properties: list[str]) -> DataFrame:
+def relation_triples(onto: Ontology, relations: list[str], taxonomy: bool = False, bidirectional: bool = False) -> DataFrame:
+    """Triples of subsumptions under ``some r.B`` for r in ``relations`` and, with ``taxonomy``, of those between named classes (with ``bidirectional`` also back)."""
+    named = onto.named()
+    sub = onto.subsumptions().select("sub_expr", "sup_expr").join(named.select(F.col("expr_id").alias("sub_expr"), F.col("iri").alias("child")), "sub_expr")
+    some = onto.exprs.where("kind = 'some'").select("expr_id").join(quantified(onto).where(F.col("relation").isin(relations)), "expr_id")
+    out = _triples(sub.join(some.withColumnRenamed("expr_id", "sup_expr"), "sup_expr"), F.col("child"), F.col("relation"), F.col("filler"))
+    if taxonomy:
+        plain = sub.join(named.select(F.col("expr_id").alias("sup_expr"), F.col("iri").alias("parent")), "sup_expr")
+        out = out.union(taxonomy_triples(plain, bidirectional))
+    return out.distinct()
+
+
+def annotation_triples(annotations: DataFrame, properties: list[str] = LEXICAL) -> DataFrame:
     """Triples of the whitelisted properties, marks around the literal stripped, empty ones left out."""
     kept = annotations.where(F.col("property_iri").isin(properties))
     out = _triples(kept, F.col("iri"), F.col("property_iri"), strip_marks(F.col("literal")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,6 +109,26 @@ def new_rows(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; ``build`` makes it if no finished one is there, so a restarted pipeline skips the stages it has done."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_synset_edges(spark: SparkSession, path: str, relation: str = "hypernym") -> DataFrame:
+    """``(parent, child)`` of an exported lexical network, a table ``synset, relation, other``.
+
+    ``hypernym`` and ``instance_hypernym``: the other one is the parent;
+    ``part_holonym``: the other one is the whole. Any other relation is an error.
+    """
+    if relation not in ("hypernym", "instance_hypernym", "part_holonym"):
+        raise ValueError(f"no such relation: {relation}")
+    rows = read_table(spark, path).where(F.col("relation") == relation)
+    return rows.select(F.col("other").alias("parent"), F.col("synset").alias("child")).where("parent is not null and child is not null").distinct()
+
+
 def evaluation_split(subsumptions: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
     """``split``: valid 5 %, test 10 %, train the rest."""
     return hash_split(subsumptions, keys, {"valid": 0.05, "test": 0.10, "train": 0.85}, seed)
