@@ -12,7 +12,7 @@ from ontospark.operators import graph as gr
 from ontospark.operators import projection as pj
 from ontospark.operators import subsumption as su
 from ontospark.operators.ontology import DEPRECATED, Ontology
-from ontospark.plans.catalogue import CLOS, GEO, _name_groups, _part_ontology, query
+from ontospark.plans.catalogue import CLOS, GEO, _part_ontology, query
 from ontospark.sources import adapters as ad
 from ontospark.sources import rdf
 from ontospark.sources.adapters import Tables
@@ -115,8 +115,11 @@ def atomic_negatives_hard(t: Tables) -> DataFrame:
 
 @query()
 def intra_corpus(t: Tables) -> DataFrame:
-    edges = t.part.select(F.col("p_type").alias("parent"), F.col("p_brand").alias("child"))
-    return su.intra_corpus(_name_groups(t), edges, seed=2)
+    """Customers by two spellings of their name, siblings by nation."""
+    iri = ad.tagged("customer", "c_custkey")
+    edges = t.customer.select(ad.tagged("nation", "c_nationkey").alias("parent"), iri.alias("child"))
+    literals = t.customer.select(iri.alias("iri"), F.explode(F.array("c_name", F.lower(F.replace("c_name", F.lit("#"), F.lit(" "))))).alias("literal"))
+    return su.intra_corpus(literals, edges, seed=2)
 
 
 # --- projection, RDF ---------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontospark.operators.ontology import Ontology
@@ -209,10 +209,13 @@ def _expressions(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return listed.union(negated).union(filled).union(valued).union(counted).dropDuplicates(["node"]), grouped
 
 
+def angle(iri) -> Column:
+    return F.concat(F.lit("<"), iri, F.lit(">"))
+
+
 def _named(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(node, text)`` and the rows of ``exprs`` for the expressions ``nodes``, from the leaves up."""
     nodes = materialize(nodes, "nodes")
-    angle = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     parts = materialize(nodes.select("node", F.posexplode_outer("operands").alias("i", "part")), "parts")
     known = nodes.select("node", F.lit(None).cast("string").alias("text")).limit(0)
     left, rows = nodes, []
@@ -262,7 +265,7 @@ def ontology_of(triples: DataFrame) -> Ontology:
 
     def named(df: DataFrame, column: str, out: str) -> DataFrame:
         joined = df.join(texts.select(F.col("node").alias(column), F.col("text").alias("_text")), column, "left")
-        text = F.when(F.col(column).startswith("_:"), F.col("_text")).otherwise(F.concat(F.lit("<"), column, F.lit(">")))
+        text = F.when(F.col(column).startswith("_:"), F.col("_text")).otherwise(angle(column))
         return joined.withColumn(out, text).drop("_text").where(F.col(out).isNotNull())
 
     properties = entities.where(F.col("entity_type").isin("ObjectProperties", "DataProperties", "AnnotationProperties"))
@@ -286,6 +289,11 @@ def ontology_of(triples: DataFrame) -> Ontology:
     members = named(apart.join(lists.withColumnRenamed("object", "list"), "list").select("subject", F.posexplode("operands").alias("i", "part")), "part", "text")
     members = members.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("operands"))
     axioms = axioms.union(members.select(F.lit("DisjointClasses"), F.lit("Classes"), none, none, "operands"))
+    chains = of(f"{OWL}propertyChainAxiom").select("subject", "object").join(lists, "object")
+    chains = chains.select(angle("subject").alias("sup_expr"), F.transform("operands", angle).alias("operands"))
+    chains = materialize(chains.withColumn("sub_expr", F.concat(F.lit("ObjectPropertyChain("), F.array_join("operands", " "), F.lit(")"))), "property_chains")
+    axioms = axioms.union(chains.select(F.lit("SubObjectPropertyOf"), F.lit("ObjectProperties"), "sub_expr", "sup_expr", empty))
+    complex_ = complex_.union(chains.select("sub_expr", F.lit("ObjectPropertyChain"), none, none, "operands"))
     body = F.concat("axiom_type", F.lit("("), F.when(F.col("operands").isNotNull(), F.array_join("operands", " ")).otherwise(F.concat_ws(" ", "sub_expr", "sup_expr")), F.lit(")"))
     axioms = axioms.withColumn("text", body).withColumn("axiom_id", F.sha1(F.col("text").cast("binary"))).dropDuplicates(["axiom_id"])
     axioms = materialize(axioms.select("axiom_id", "axiom_type", "entity_type", "sub_expr", "sup_expr", "operands", "text"), "axioms")

@@ -12,6 +12,7 @@ DOC = f"""<?xml version="1.0"?>
   <owl:Ontology rdf:about="http://ex.org/o"><rdfs:comment>about it</rdfs:comment></owl:Ontology>
   <owl:ObjectProperty rdf:about="#eats"><rdfs:domain rdf:resource="#Animal"/><owl:inverseOf rdf:resource="#eatenBy"/></owl:ObjectProperty>
   <owl:ObjectProperty rdf:ID="eatenBy"/>
+  <owl:ObjectProperty rdf:about="#feedsOn"><owl:propertyChainAxiom rdf:parseType="Collection"><rdf:Description rdf:about="#eats"/><rdf:Description rdf:about="#eats"/></owl:propertyChainAxiom></owl:ObjectProperty>
   <owl:DatatypeProperty rdf:about="#age"/>
   <owl:Class rdf:about="#Animal"><rdfs:label xml:lang="en">animal "x"</rdfs:label><rdfs:label xml:lang="de">Tier</rdfs:label></owl:Class>
   <owl:Class rdf:about="#Cow">
@@ -33,6 +34,7 @@ DOC = f"""<?xml version="1.0"?>
   <rdf:Description><rdf:type rdf:resource="&owl;AllDisjointClasses"/><owl:members rdf:parseType="Collection"><owl:Class rdf:about="#Cow"/><owl:Class rdf:about="#Plant"/></owl:members></rdf:Description>
 </rdf:RDF>"""
 AXIOMS = {
+    f"SubObjectPropertyOf(ObjectPropertyChain(<{EX}eats> <{EX}eats>) <{EX}feedsOn>)",
     f"ObjectPropertyDomain(<{EX}eats> <{EX}Animal>)",
     f"InverseObjectProperties(<{EX}eats> <{EX}eatenBy>)",
     f"SubClassOf(<{EX}Cow> <{EX}Animal>)",
@@ -58,7 +60,7 @@ def test_rdf_xml(spark, tmp_path):
     assert column(onto.axioms, "text") == AXIOMS
     kinds = {(r["iri"].removeprefix(EX), r["entity_type"]) for r in onto.entities.collect()}
     classes = {(c, "Classes") for c in ("Animal", "Cow", "Plant", "Herbivore", "Both")}
-    assert kinds == classes | {("eats", "ObjectProperties"), ("eatenBy", "ObjectProperties"), ("age", "DataProperties"), ("bella", "Individuals")}
+    assert kinds == classes | {("eats", "ObjectProperties"), ("feedsOn", "ObjectProperties"), ("eatenBy", "ObjectProperties"), ("age", "DataProperties"), ("bella", "Individuals")}
     notes = {(r["iri"], r["literal"], r["lang"]) for r in onto.annotations.collect()}
     assert notes == {("http://ex.org/o", "about it", None), (f"{EX}Animal", 'animal "x"', "en"), (f"{EX}Animal", "Tier", "de")}
     facts = {tuple(x.removeprefix(EX) for x in r) for r in onto.assertions.select("subject", "predicate", "object").collect()}
