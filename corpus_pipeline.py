@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontospark.llm import decontaminate, langid, simhash, toxicity
+from ontospark.llm import decontaminate, langid, nearcopies, toxicity
 from ontospark.llm.queries import digest_tokens
 from ontospark.runtime import materialize
 
@@ -28,8 +28,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.deduplicate(docs).select(*docs.columns)
+    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
+    return nearcopies.deduplicate(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,7 +211,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     All columns stay. Rows without an id can't be chosen by id and stay.
     """
-    found = simhash_components(docs, id_col, text_col)
+    return keep_least(docs, simhash_components(docs, id_col, text_col), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the ``component`` of their row ``id`` in ``found``, one row each, and those without an id."""
     kept = found.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_n"))
     kept = materialize(kept, "kept")
     if kept.where("_n > 1").isEmpty():  # the usual case: ids are unique
