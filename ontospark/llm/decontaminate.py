@@ -248,9 +248,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` without those that hold a window of an item; all columns stay."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     if size > broadcast_bytes:
-        found = contamination(docs, benchmark, id_col, text_col, span=span, broadcast_bytes=broadcast_bytes)
-        dirty = found.where(F.size("hits") > 0).select(F.col("id").alias("_dirty")).distinct()
-        return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_dirty"]), "left_anti")
+        # Ids may be null or repeated, so rows are told apart by a number of their own.
+        row = next(name for k in range(len(docs.columns) + 1) if (name := f"_row{k}") not in docs.columns)
+        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = contamination(rows, benchmark, row, text_col, span=span, broadcast_bytes=broadcast_bytes)
+        dirty = found.where(F.size("hits") > 0).select(F.col("id").alias(row))
+        return rows.join(dirty, row, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in benchmark.select("item_id", "text").collect()])
     at = docs.columns.index(text_col)
 

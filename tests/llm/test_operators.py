@@ -190,6 +190,16 @@ def test_decontamination(spark):
     assert decontaminate.contamination(d.limit(0), b).count() == 0
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three"), (None, "clean text"), (7, "one two three"), (7, "other text"), (7, None), (8, "one two three")], DOCS)
+    docs = docs.withColumn("_row0", F.lit("x"))
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        clean = decontaminate.decontaminate(docs, bench, broadcast_bytes=limit)
+        assert clean.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == [("7", "None"), ("7", "other text"), ("None", "clean text")]
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_span():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 5, 400).astype(np.uint64)
