@@ -408,6 +408,13 @@ def connected_synonyms(t: Tables) -> DataFrame:
     return connected_components(g, "a", "b")
 
 
+@query()
+def connected_synonyms_whole(t: Tables) -> DataFrame:
+    """``connected_synonyms`` over every part and supplier of lineitem; its closure of pairs is too large for SQL."""
+    g = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    return connected_components(g, "a", "b")
+
+
 # --- corpora --------------------------------------------------------------------------------------------
 
 _GROUPS = "g AS (SELECT DISTINCT p_brand AS group_id, p_name AS literal FROM part)"
