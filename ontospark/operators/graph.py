@@ -215,28 +215,48 @@ def random_walks(edges: DataFrame, walks: int, length: int, restart: float = 0.0
     return _union(out)
 
 
-def biased_walks(edges: DataFrame, walks: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
+#: Draws of a next step made at once by rejection; walks that none of them moves go through all their edges.
+TRIES = 16
+
+
+def biased_walks(edges: DataFrame, walks: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 0, tries: int = TRIES) -> DataFrame:
     """``(start, walk, step, id)``: second-order walks over ``(source, target, weight)``.
 
     A step back weighs 1/p of the edge, one to a neighbour of the last node 1,
-    any other 1/q; the choice is a point on the cumulated weights.
+    any other 1/q. A step draws ``tries`` numbered edges of its node and takes
+    the first that is accepted, in proportion to its weight; only walks without
+    one list all edges of their node, and take a point on the cumulated weights.
     """
-    e = materialize(edges.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("weight")), "adjacency")
-    starts = e.select(F.col("source").alias("start")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
+    e = edges.groupBy("source", "target").agg(F.sum("weight").cast("double").alias("weight"))
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("target")) - 1)
+    e = materialize(e, "adjacency")
+    nodes_ = materialize(e.groupBy("source").agg(F.count("*").alias("degree"), F.max("weight").alias("most")), "degrees")
+    starts = nodes_.select(F.col("source").alias("start")).withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
     at = starts.select("start", "walk", F.lit(None).cast(e.schema["source"].dataType).alias("last"), F.col("start").alias("source"))
     out = [at.select("start", "walk", F.lit(0).alias("step"), F.col("source").alias("id"))]
     key = ["start", "walk"]
+    near = e.select(F.col("source").alias("last"), "target", F.lit(True).alias("near"))
+    bias = F.when(F.col("target") == F.col("last"), 1.0 / p).when(F.col("last").isNull() | F.coalesce("near", F.lit(False)), 1.0).otherwise(1.0 / q)
+    top = max(1.0, 1.0 / p, 1.0 / q)
+
+    def point(*salt: Column | int) -> Column:
+        return F.pmod(F.xxhash64(*key, *(F.lit(x) if isinstance(x, int) else x for x in salt), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
     for k in range(1, length + 1):
-        near = e.select(F.col("source").alias("last"), "target", F.lit(True).alias("near"))
-        options = at.join(e, "source").join(near, ["last", "target"], "left")
-        bias = F.when(F.col("last").isNull() | F.coalesce("near", F.lit(False)), 1.0).when(F.col("target") == F.col("last"), 1.0 / p).otherwise(1.0 / q)
-        bias = F.when(F.col("target") == F.col("last"), 1.0 / p).otherwise(bias)
+        drawn = at.join(nodes_, "source").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))) if tries else None
+        if drawn is not None:
+            drawn = drawn.withColumn("k", F.floor(point(k, F.col("try"), 1) * F.col("degree")).cast("int"))
+            drawn = drawn.join(e, ["source", "k"]).join(near, ["last", "target"], "left")
+            fit = drawn.where(point(k, F.col("try"), 2) * F.col("most") * top < F.col("weight") * bias)
+            moved = materialize(fit.groupBy(*key).agg(F.min_by("target", "try").alias("target"), F.first("source").alias("source")).select(*key, "source", "target"), "moved")
+        left = at.join(moved.select(*key), key, "left_anti") if drawn is not None else at
+        options = left.join(e.drop("k"), "source").join(near, ["last", "target"], "left")
         options = options.withColumn("w", F.col("weight") * bias)
         upto = F.sum("w").over(Window.partitionBy(*key).orderBy("target").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         total = F.sum("w").over(Window.partitionBy(*key))
-        point = F.pmod(F.xxhash64(*key, F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        marked = options.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") > point * F.col("total"))
-        picked = marked.groupBy(*key, "source").agg(F.min_by("target", "upto").alias("target"))
+        marked = options.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") > point(k) * F.col("total"))
+        picked = marked.groupBy(*key, "source").agg(F.min_by("target", "upto").alias("target")).select(*key, "source", "target")
+        picked = moved.unionByName(picked) if drawn is not None else picked
         at = materialize(picked.select(*key, F.col("source").alias("last"), F.col("target").alias("source")), "walk")
         out.append(at.select(*key, F.lit(k).alias("step"), F.col("source").alias("id")))
     return _union(out)

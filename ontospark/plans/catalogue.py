@@ -395,7 +395,7 @@ def walks_random(t: Tables) -> DataFrame:
 
 @query()
 def walks_biased(t: Tables) -> DataFrame:
-    e = ad.geo_edges(t).where(~F.col("child").startswith("customer"))
+    e = ad.geo_edges(t)
     both = e.select(F.col("parent").alias("source"), F.col("child").alias("target")).union(e.select("child", "parent")).withColumn("weight", F.lit(1.0))
     return gr.biased_walks(both, 1, 3, p=0.5, q=2.0, seed=3)
 
