@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
@@ -52,16 +56,30 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_removed(spark):
+        df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ontospark_path = path
     return out
 
 
-def drop_materialized(df: DataFrame) -> None:
-    path = getattr(df, "_ontospark_path", None)
-    if path:
-        remove_path(df.sparkSession, path)
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes the shuffle files of every execution at its end: what was written has no use for them."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def drop_materialized(*frames: DataFrame) -> None:
+    """Delete the tables that ``materialize`` gave; other DataFrames are passed over."""
+    for df in frames:
+        path = getattr(df, "_ontospark_path", None)
+        if path:
+            remove_path(df.sparkSession, path)
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -87,6 +105,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         parent = materialize(parent, "parents")
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         jumped = materialize(parent.join(up, "parent").select("node", F.col("above").alias("parent")), "parents")
+        drop_materialized(parent)
         maps.append(jumped)
         pa = jumped.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         pb = jumped.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
@@ -99,4 +118,6 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     for earlier in reversed(maps[:-1]):
         above = found.select(F.col("node").alias("parent"), "component")
         found = earlier.join(above, "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
-    return materialize(found, "components")
+    out = materialize(found, "components")
+    drop_materialized(current, *maps)
+    return out
