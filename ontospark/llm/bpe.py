@@ -1,13 +1,17 @@
 """BPE encoding and decoding through a table of distinct words.
 
 A BPE vocabulary with word ends merges inside pre-tokens ("words") only, so a
-text's ids are its words' ids in order. Texts are dealt into blocks of a few
-MB; each block gives its distinct words, cut into lists by the words' hash. The
-lists of one hash bucket meet, every distinct word of the corpus is encoded
-once, and the ids go back to the blocks, which put them at the words'
-positions. What is shuffled is the compressed texts once and the blocks'
-compressed vocabularies, not word occurrences. Decoding joins ids to the
-pieces of the vocabulary, which has a fixed number of rows.
+text's ids are its words' ids in order. Each task counts its distinct words;
+the counts are summed by word, and every distinct word of the corpus is encoded
+once. The ``FREQUENT`` commonest words are known to every task by number. A
+second pass writes each text as its words' numbers, in blocks of a few MB of
+text; words that aren't frequent get a number within their block and travel as
+rows ``(block, number, word)``, are joined to the word table, and their ids go
+back to the block by number. Such a word is rare by construction, so no key of
+that join is hot, and the number of rows is in proportion to the input.
+
+Decoding joins ids to the pieces of the vocabulary: the id-to-piece table has a
+fixed number of rows, so each task holds it whole and joins by position.
 
 Null and empty texts have no ids and decode to the empty string. Rows are
 kept as they are, repeated ones too; a null id is an id like any other. Ids
@@ -20,24 +24,31 @@ import functools
 import os
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ontospark.llm.words import lean
+from ontospark.llm.words import chunks, lean
+from ontospark.runtime import drop_materialized, materialize
 
-#: UTF-8 bytes of text per block, on average.
+#: UTF-8 bytes of text per block, about; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Rows per batch that a task hands on.
+#: Words that every task knows by number, at most, and the longest such word in characters: together they bound what is broadcast.
+FREQUENT, FREQUENT_CHARS = 1 << 17, 64
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 1 << 20
+#: Words per batch that a task hands on or gathers.
 ROWS = 1 << 16
 
 
@@ -113,12 +124,12 @@ def _splitter(path: str) -> Splitter:
 
 
 @functools.lru_cache(4)
-def _pieces(path: str) -> np.ndarray:
+def _pieces(path: str) -> pa.Array:
     tok = _load(path)
-    table = np.full(max(tok.get_vocab(True).values()) + 1, "", object)
+    table = [""] * (max(tok.get_vocab(True).values()) + 1)
     for piece, k in tok.get_vocab(True).items():
         table[k] = piece
-    return table
+    return pa.array(table, pa.string())
 
 
 def _pack(parts: list[np.ndarray | bytes]) -> bytes:
@@ -129,159 +140,178 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(data)
 
 
-def _dealt_texts(blocks: int, schema: pa.Schema):
-    """Rows ``(block, docs)``: the rows of a batch that belong to one block, compressed together."""
+def _count_words(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, found = _splitter(path), Counter()
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            words, many = list(found.keys()), np.fromiter(found.values(), np.int64, len(found))
+            found.clear()
+            for at in range(0, len(words), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + ROWS], pa.string()), pa.array(many[at : at + ROWS])], names=["word", "n"])
+
+        for batch in batches:
+            for _, texts in chunks(batch.column(0)):
+                for text in texts:
+                    found.update(split(text))
+                if len(found) >= COUNTED:
+                    yield from handed()
+        yield from handed()
+
+    return run
+
 
+def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _word_tokenizer(path)
         for batch in batches:
-            owner = batch.column(0).to_numpy()
-            order = np.argsort(owner, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0]) if len(order) else []
-            for a, b in zip(starts, [*starts[1:], len(order)]):
-                part = batch.take(pa.array(order[a:b])).select([1, 2])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, schema) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays(part.columns, schema=schema))
-                yield pa.RecordBatch.from_arrays([pa.array([owner[order[a]]], pa.int64()), pa.array([_pack([sink.getvalue()])], pa.binary())], names=["block", "docs"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return run
 
 
-def _texts(docs: bytes) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
-    table = pa.ipc.open_stream(_unpack(docs)).read_all()
-    return table.column(0), table.column(1)
+def word_table(texts: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``(word, n, ids)``: every distinct word of the corpus once, how often it stands there, and its packed ids."""
+    counted = texts.select(F.col(text_col).alias("text")).mapInArrow(lean(_count_words(tokenizer_path)), "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(lean(_encode_words(tokenizer_path)), "word string, n long, ids binary")
 
 
-def _word_lists(words: set[str], buckets: int) -> dict[int, list[str]]:
-    """Words by bucket and sorted, so that whoever has the same words gets the same lists."""
-    lists: dict[int, list[str]] = {}
-    digest = xxhash.xxh32_intdigest
-    for word in words:
-        lists.setdefault(digest(word) % buckets, []).append(word)
-    for some in lists.values():
-        some.sort()
-    return lists
+class _Codes(dict):
+    """Numbers of words; a new word gets the next one."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = out = len(self)
+        return out
 
-def _block_words(path: str, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(path)
-        found: dict[int, set[str]] = {}
-        for batch in batches:
-            for block, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = found.setdefault(block, set())
-                for text in _texts(docs.as_py())[1]:
-                    words.update(split(text.as_py()))
-        while found:
-            block, words = found.popitem()
-            for bucket, some in _word_lists(words, buckets).items():
-                # No pre-token of this kind holds a line break, as white space is never part of one.
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(["\n".join(some).encode()])], pa.binary())], names=["block", "bucket", "words"])
 
-    return run
+_CODED = "block long, docs binary, number int, word string"
 
 
-def _bucket_ids(path: str):
-    """Encode each distinct word of a bucket once, and give every block the ids of its list in the list's order."""
+def _coded_blocks(path: str, frequent, block_bytes: int, id_type: pa.DataType):
+    """Rows ``(block, docs)`` with the packed word numbers of a block's texts, and rows ``(block, number, word)`` of its rare words."""
 
-    def run(table: pa.Table) -> pa.Table:
-        tok = _word_tokenizer(path)
-        lists = [_unpack(x.as_py()).decode().split("\n") for x in table.column("words")]
-        index: dict[str, int] = {}
-        for some in lists:
-            for word in some:
-                index.setdefault(word, len(index))
-        words, ids = list(index), []
-        for at in range(0, len(words), ROWS):
-            ids.extend(np.array(e.ids, "<u4") for e in tok.encode_batch(words[at : at + ROWS], add_special_tokens=False))
-        out = []
-        for some in lists:
-            own = [ids[index[w]] for w in some]
-            out.append(_pack([np.fromiter(map(len, own), "<u4", len(own)), np.concatenate(own)]))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(out, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, known = _splitter(path), {w: k for k, w in enumerate(frequent.value[0])}
+        block = TaskContext.get().partitionId() << 32
+        schema = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
+        codes, ids, coded, size = _Codes(known), [], [], 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            sink = pa.BufferOutputStream()
+            own = pa.schema([("id", id_type)])
+            with pa.ipc.new_stream(sink, own) as out:
+                out.write_table(pa.table({"id": pa.chunked_array(ids, id_type)}, own))
+            rows = sink.getvalue().to_pybytes()
+            lengths = np.fromiter(map(len, coded), "<i8", len(coded))
+            numbers = np.fromiter(chain.from_iterable(coded), "<u4", int(lengths.sum()))
+            # Each byte of the numbers apart: the high ones are nearly all zero.
+            planes = numbers.view(np.uint8).reshape(-1, 4).T.tobytes()
+            docs = np.array([len(rows), len(lengths)], "<i8").tobytes() + _pack([rows, lengths, planes])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([docs], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())], schema=schema)
+            rare = list(codes)[len(known) :]
+            for at in range(0, len(rare), ROWS):
+                some = rare[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), block)), pa.nulls(len(some), pa.binary()), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.string())], schema=schema
+                )
+
+        for batch in batches:
+            for part, texts in chunks(batch.column(1)):
+                ids.append(batch.column(0)[part.start : part.stop])
+                for text in texts:
+                    words = split(text)
+                    coded.append(np.fromiter(map(codes.__getitem__, words), "<u4", len(words)))
+                    size += 4 * len(words) + 8
+                if size >= block_bytes:
+                    yield from handed()
+                    codes, ids, coded, size, block = _Codes(known), [], [], 0, block + 1
+        if coded:
+            yield from handed()
 
     return run
 
 
 def _join_pieces(path: str, packed: list[bytes | None]) -> pa.Array:
-    pieces = _pieces(path)
-    return pa.array([None if ids is None else " ".join(pieces[np.frombuffer(ids, "<u4")].tolist()) for ids in packed], pa.string())
+    """The pieces of each value's ids, joined by a space: a join of ids with the id-to-piece table, by position."""
+    some = [x or b"" for x in packed]
+    flat = pa.array(np.frombuffer(b"".join(some), "<u4"))
+    ends = np.r_[0, np.cumsum([len(x) // 4 for x in some])].astype(np.int32)
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pc.take(_pieces(path), flat)), " ")
+    return pc.if_else(pa.array([x is None for x in packed], pa.bool_()), pa.scalar(None, pa.string()), texts)
+
 
+def _assemble(path: str, frequent, decoded: bool, id_type: pa.DataType):
+    """One block's rows: the ids of each text's words, from the frequent words' and the block's own rare words' ids."""
 
-def _assemble(path: str, buckets: int, id_type: pa.DataType, decoded: bool):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
-        split = _splitter(path)
-        parts = [_texts(x.as_py()) for x in docs.column("docs")]
-        cut = [split(text.as_py()) for _, texts in parts for text in texts]
-        lists = _word_lists(set(chain.from_iterable(cut)), buckets)
-        index: dict[str, int] = {}
-        lengths, flat = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
-        for bucket, data in zip(coded.column("bucket").to_pylist(), coded.column("ids")):
-            values = np.frombuffer(_unpack(data.as_py()), "<u4")
-            some = lists.pop(bucket)
-            index.update(zip(some, range(len(index), len(index) + len(some))))
-            lengths.append(values[: len(some)])
-            flat.append(values[len(some) :])
-        length, ids = np.concatenate(lengths).astype(np.int64), np.concatenate(flat)
-        start = np.cumsum(length) - length
-        out, todo, size = [], [], 0
-
-        def flush() -> None:
-            codes = np.fromiter(map(index.__getitem__, chain.from_iterable(todo)), np.int64)
-            many = length[codes]
-            end = np.cumsum(many)
-            found = ids[np.repeat(start[codes] - (end - many), many) + np.arange(end[-1] if len(end) else 0)]
-            bounds = np.r_[0, end][np.cumsum([0, *map(len, todo)])].tolist()
-            out.extend(found[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
-            todo.clear()
-
-        for words in cut:
-            todo.append(words)
-            size += len(words)
-            if size >= ROWS:
-                flush()
-                size = 0
-        flush()
-        of = pa.chunked_array([c for i, _ in parts for c in i.chunks], id_type)
-        coded_rows = {"id": of, "ids": pa.array(out, pa.binary())}
-        return pa.table(coded_rows | ({"decoded": _join_pieces(path, out)} if decoded else {}))
+        order = np.argsort(coded.column("number").to_numpy())
+        rare = coded.column("ids").take(pa.array(order)).to_pylist() if len(order) else []
+        packed = [*frequent.value[1], *rare]
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start, table = np.cumsum(length) - length, np.frombuffer(b"".join(packed), "<u4")
+        parts, out, texts = [], [], []
+        for value in docs.column("docs").to_pylist():
+            head, many = np.frombuffer(value[:16], "<i8").tolist()
+            data = _unpack(value[16:])
+            parts.extend(pa.ipc.open_stream(data[:head]).read_all().column(0).chunks)
+            words = np.frombuffer(data[head : head + 8 * many], "<i8")
+            numbers = np.ascontiguousarray(np.frombuffer(data[head + 8 * many :], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            bounds, at = np.r_[0, np.cumsum(words)], 0
+            while at < many:
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + ROWS, "right")) - 1)
+                codes = numbers[bounds[at] : bounds[to]].astype(np.int64)
+                ends = np.r_[0, np.cumsum(length[codes])]
+                found = table[np.repeat(start[codes] - ends[:-1], length[codes]) + np.arange(ends[-1])]
+                cuts = ends[bounds[at : to + 1] - bounds[at]].tolist()
+                some = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                out.extend(some)
+                if decoded:
+                    texts.append(_join_pieces(path, some))
+                at = to
+        rows = {"id": pa.chunked_array(parts, id_type), "ids": pa.array(out, pa.binary())}
+        return pa.table(rows | ({"decoded": pa.chunked_array(texts, pa.string())} if decoded else {}))
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """``(id, ids)``: for each row of ``docs`` the ids of its whole text, packed.
 
     ``decoded`` adds a column of that name with what ``decode`` makes of the
-    ids, in the same task.
-    A row's block follows from its id and text alone, so a task that runs again
-    gives the same blocks.
+    ids, in the same task. Blocks are written once before anything is joined
+    to them, so a task that runs again finds the same blocks.
     """
-    kind = docs.schema[id_col].dataType
+    kind, spark = docs.schema[id_col].dataType, docs.sparkSession
+    id_type = to_arrow_type(kind)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // block_bytes))
-    schema = pa.schema([("id", to_arrow_type(kind)), ("text", pa.string())])
-    dealt = slim.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
-    dealt = dealt.mapInArrow(lean(_dealt_texts(blocks, schema)), "block long, docs binary").repartition("block")
-    lists = dealt.mapInArrow(lean(_block_words(tokenizer_path, blocks)), "block long, bucket int, words binary")
-    coded = lists.groupBy("bucket").applyInArrow(_bucket_ids(tokenizer_path), "block long, bucket int, ids binary")
+    words = materialize(word_table(slim, tokenizer_path), "words")
+    # Of words as common as each other, which are taken depends on their text alone.
+    top = words.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").collect()
+    known = spark.sparkContext.broadcast(([r["word"] for r in top], [bytes(r["ids"]) for r in top]))
+    blocks = materialize(slim.mapInArrow(lean(_coded_blocks(tokenizer_path, known, block_bytes, id_type)), _CODED), "blocks")
+    rare = blocks.where("word is not null").select("block", "number", "word")
+    coded = materialize(rare.join(words.select("word", "ids"), "word").select("block", "number", "ids"), "coded")
+    drop_materialized(words)
     text = [T.StructField("decoded", T.StringType())] if decoded else []
     out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), *text])
-    return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, blocks, schema.field("id").type, decoded), out)
+    texts = blocks.where("docs is not null").select("block", "docs")
+    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, known, decoded, id_type), out)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its packed ids: their pieces, joined by a space.
 
     The id-to-piece table is the vocabulary (a fixed number of rows), read by
-    each executor from ``tokenizer_path`` and looked up by position. Special
-    tokens are pieces like any other; null ids give null.
+    each executor from ``tokenizer_path`` and joined by position. Special
+    tokens are pieces like any other; null ids give null. A column named
+    ``out_col`` is replaced.
     """
-    from tokenizers import Tokenizer
-
-    if Tokenizer.from_file(tokenizer_path).decoder is not None:
+    if _load(tokenizer_path).decoder is not None:
         raise ValueError("only vocabularies whose pieces are joined by spaces are supported")
+    encoded = encoded.drop(out_col) if out_col != ids_col else encoded
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+#: All bytes but ASCII white space.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from ``taken`` in either case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,13 +50,13 @@ class Words(NamedTuple):
     heads: tuple[np.ndarray, ...] = ()  #: hashes of the words' first bytes, for each length asked for
 
 
-def scan(texts: list[bytes], heads: tuple[int, ...] = ()) -> Words:
-    """The words (runs of ASCII letters, digits and non-ASCII bytes) of ``texts``, one text after the other.
+def scan(texts: list[bytes], heads: tuple[int, ...] = (), is_word: np.ndarray = IS_WORD) -> Words:
+    """The words (runs of the bytes ``is_word``: ASCII letters, digits and non-ASCII bytes) of ``texts``, one text after the other.
 
     ``heads``: lengths in bytes for which the words' beginnings are hashed as well.
     """
     data = LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
-    inside = np.r_[False, IS_WORD[data], False]
+    inside = np.r_[False, is_word[data], False]
     starts = np.flatnonzero(inside[1:] & ~inside[:-1])
     ends = np.flatnonzero(~inside[1:] & inside[:-1])
     # A sum of byte values weighted by powers of an odd number, shifted back to the word's start.
@@ -58,6 +72,14 @@ def scan(texts: list[bytes], heads: tuple[int, ...] = ()) -> Words:
     return Words(data, starts, ends, hashed(ends), np.diff(np.r_[0, np.searchsorted(starts, bounds)]), tuple(hashed(np.minimum(starts + n, ends)) for n in heads))
 
 
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of ``k`` neighbouring word hashes."""
+    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        out = mix(out * ODD + words[j : j + len(out)])
+    return out
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[slice, list[str | None]]]:
     """Rows of a text column about ``CHUNK`` bytes at a time, so that a batch is never whole in Python's own strings."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
