@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontospark.llm.words import ODD, chunks, lean, mix, scan
+from ontospark.llm.words import ODD, chunks, grams, lean, mix, scan
 from ontospark.runtime import materialize
 
 SPAN = 10
@@ -41,18 +41,11 @@ def words_of(text: str | None) -> list[bytes]:
     return _FIND(text.encode().lower()) if text else []
 
 
-def _grams(words: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    for j in range(k):
-        out = mix(out * ODD + words[j : j + len(out)])
-    return out
-
-
 def winnow(words: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the kept k-grams of texts that lie one after the other in ``words``."""
     k = -(-span // 2)
     wide = span - k + 1
-    grams = _grams(words, k)
+    grams = grams(words, k)
     windows = len(words) - span + 1
     if windows <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -88,7 +81,7 @@ class Benchmark:
             hashes, counts = hash_words([b" ".join(w) for w in group])
             self.prints[size] = np.unique(winnow(hashes, counts, size)[1])
             hashes, _ = hash_words(list(self.windows[size]))
-            self.hashes[size] = np.unique(_grams(hashes, size)[::size])
+            self.hashes[size] = np.unique(grams(hashes, size)[::size])
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a set join by prefixes.
+"""Near copies: SimHash links completed to all pairs of Jaccard 0.8 or more over word shingles.
+
+Documents that differ in a few words of a hundred have 5-word shingles in
+common to 0.8, but differ in some seven of 64 SimHash bits, beyond the reach of
+deletion-variant signatures over segments that are still selective. So the
+SimHash join gives the first candidates, and a set join by prefixes the rest.
 
 Shingles are runs of ``width`` words (a text of fewer is one shingle), hashed
 to 64 bits. All shingles have one order: those that a sample of documents
@@ -8,9 +13,9 @@ first n - ceil(t * n) + 1 of both. An equality join on these prefixes with a
 check of the whole sets therefore misses no pair, whatever the sample holds.
 
 Equal sets are one class. Null and empty texts have no words, so they are one
-class too. The work beyond the prefixes is first one comparison per member of
-a key, with one member of its size; then all pairs that are not yet in one
-component, in blocks.
+class too. The work beyond the prefixes is one comparison per SimHash link, one
+per member of a key, with one member of its size, and then all pairs of a key
+that are not yet in one component, in blocks.
 """
 
 from __future__ import annotations
@@ -22,92 +27,155 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ontospark.llm.simhash import _shingle_hashes, keep_least
-from ontospark.llm.words import chunks, lean
-from ontospark.runtime import connected_components, materialize
+from ontospark.llm.simhash import fingerprint_links
+from ontospark.llm.words import NOT_SPACE, chunks, fresh, grams, lean, scan
+from ontospark.runtime import connected_components, drop_materialized, materialize
 
-WIDTH, THRESHOLD, SEED = 5, 0.8, 42
+WIDTH, THRESHOLD = 5, 0.8
 #: Documents, about, in which common shingles are counted, how many of them make a shingle common, and how many such are kept at most: order only.
-SAMPLE_DOCS, COMMON, MOST_COMMON = 4096, 8, 100_000
+SAMPLE_DOCS, COMMON, MOST_COMMON = 16384, 8, 1 << 18
 #: Members of a key that a single block of comparisons holds.
 TILE = 1024
+#: Rows (a few numbers each) up to which a table goes to every task rather than through a shuffle with the texts.
+BROADCAST_ROWS = 1 << 20
 SLACK = 1e-9
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    words = text.encode().lower().split() if text else []
-    return np.unique(np.array(_shingle_hashes(words, width, SEED) if words else [], np.uint64))
-
-
-def prefix(members: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The first members in the order of the join: enough to meet every set that is similar."""
-    late = np.isin(members, common)
-    many = len(members) - int(np.ceil(threshold * len(members) - SLACK)) + 1 if len(members) else 0
-    return np.concatenate([members[~late], members[late]])[:many]
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending, one text after the other, and how many each has."""
+    found = scan([(t or "").encode() for t in texts], is_word=NOT_SPACE)
+    last = np.cumsum(found.counts)
+    owner = np.repeat(np.arange(len(texts)), found.counts)
+    hashes, owners = [], []
+    whole = grams(found.hashes, width)
+    fit = np.arange(len(whole)) + width <= last[owner[: len(whole)]] if len(whole) else np.zeros(0, bool)
+    hashes.append(whole[fit])
+    owners.append(owner[: len(whole)][fit])
+    for size in range(1, width):  # texts of fewer words
+        short = np.flatnonzero(found.counts == size)
+        if len(short):
+            at = (last - found.counts)[short]
+            hashes.append(np.array([grams(found.hashes[a : a + size], size)[0] for a in at.tolist()], np.uint64) + np.uint64(size))
+            owners.append(short)
+    value, own = np.concatenate(hashes), np.concatenate(owners)
+    order = np.lexsort((value, own))
+    value, own = value[order], own[order]
+    first = np.r_[True, (value[1:] != value[:-1]) | (own[1:] != own[:-1])] if len(value) else np.zeros(0, bool)
+    return value[first], np.bincount(own[first], minlength=len(texts))
+
+
+def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(table, values)
+    return table[np.minimum(at, len(table) - 1)] == values
+
+
+def prefixes(values: np.ndarray, counts: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set its first members in the order of the join, enough to meet every similar set, and their number."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((values, _is_in(values, common), owner))
+    many = np.where(counts > 0, counts - np.ceil(threshold * counts - SLACK).astype(np.int64) + 1, 0)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return values[order][place < many[owner]], many
+
+
+def _fingerprints(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The SimHash of each set of hashes."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = (np.cumsum(counts) - counts)[some]
+        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        on = (2 * sums > counts[some, None]).astype(np.uint8)
+        out[some] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def _common_shingles(slim: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
-                for text in texts:
-                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width).view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts, width)[0].view(np.int64))], names=["h"])
 
     every = max(1, slim.count() // SAMPLE_DOCS)
-    some = slim.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()  # copies are one class
+    some = slim.select("text", "th").where(F.pmod("th", F.lit(every)) == 0).dropDuplicates(["th"]).select("text")  # copies are one class
     found = some.mapInArrow(lean(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
+    return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
 
 
 def _classes(slim: DataFrame, width: int, threshold: float) -> DataFrame:
-    """``(id, cls, n, prefix, text)`` per row; a task gives prefix and text of a class once."""
+    """``(id, th, cls, n, fp, prefix)`` per row; a task gives the prefix of a class once."""
     shared = slim.sparkSession.sparkContext.broadcast(_common_shingles(slim, width))
+    names = ["id", "th", "cls", "n", "fp", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = shared.value, set()
         for batch in batches:
-            for part, texts in chunks(batch.column(1)):
-                cls, sizes, prefixes, first = [], [], [], []
-                for text in texts:
-                    members = shingle_set(text, width)
-                    cls.append(xxhash.xxh3_64_intdigest(members.tobytes()))
-                    sizes.append(len(members))
-                    new = cls[-1] not in seen
-                    seen.add(cls[-1])
-                    prefixes.append(prefix(members, common, threshold).view(np.int64) if new else None)
-                    first.append(text if new else None)
+            for part, texts in chunks(batch.column(2)):
+                values, counts = shingle_sets(texts, width)
+                bounds = np.r_[0, np.cumsum(counts)].tolist()
+                cls = [xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+                new = []
+                for c in cls:
+                    new.append(c not in seen)
+                    seen.add(c)
+                first = np.array(new, bool)
+                own = np.where(first, counts, 0)
+                kept, many = prefixes(values[np.repeat(first, counts)], own, common, threshold)
+                ends = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(kept.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(first, pa.string())],
-                    names=["id", "cls", "n", "prefix", "text"],
+                    [*(batch.column(k)[part.start : part.stop] for k in (0, 1)), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(counts.astype(np.int32)), pa.array(_fingerprints(values, counts).view(np.int64)), lists], names=names
                 )
 
-    return materialize(slim.mapInArrow(lean(run), "id long, cls long, n int, prefix array<long>, text string"), "classes")
+    kinds = [slim.schema["id"].dataType, T.LongType(), T.LongType(), T.IntegerType(), T.LongType(), T.ArrayType(T.LongType())]
+    return materialize(slim.select("id", "th", "text").mapInArrow(lean(run), T.StructType(list(map(T.StructField, names, kinds)))), "classes")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, slim: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` of classes whose sets are similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], names=["cls", "members"])
+                values, counts = shingle_sets(texts, width)
+                bounds = np.r_[0, np.cumsum(counts)].tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["cls", "members"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fit = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = int(_is_in(x, y).sum())
                 fit.append(both >= threshold * (len(x) + len(y) - both) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
+    pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = rows.where(F.col("prefix").isNotNull()).select("cls", "text").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
-    found = materialize(texts.mapInArrow(lean(sets), "cls long, members binary"), "sets")
-    full = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(full.mapInArrow(lean(check), "a long, b long"), "links")
+    # One text stands for a class; a hash tells texts apart, so rows may share an id.
+    one = materialize(rows.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("th").alias("th")), "needed")
+    few = one.count() <= BROADCAST_ROWS
+    texts = slim.select("th", "text").join(F.broadcast(one) if few else one, "th").select("cls", "text")
+    found = texts.mapInArrow(lean(sets), "cls long, members binary").dropDuplicates(["cls"])
+    full = pairs.join(found.toDF("b", "y"), "b").join(found.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    out = materialize(full.mapInArrow(lean(check), "a long, b long"), "links")
+    drop_materialized(one, pairs)
+    return out
+
+
+def _simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Classes of one fingerprint with the smallest of them, and those smallest ones where SimHash links their fingerprints."""
+    least = materialize(rows.groupBy("fp").agg(F.min("cls").alias("least"), F.max("cls").alias("most")), "least")
+    same = rows.select("fp", "cls").join(least.where("least < most").select("fp", "least"), "fp").where("least < cls").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    links = materialize(fingerprint_links(least.select("fp")), "links")
+    ends = least.select("fp", "least")
+    near = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(near)
 
 
 def _may_be_similar(threshold: float):
@@ -119,9 +187,9 @@ def _may_be_similar(threshold: float):
 def _star_pairs(shared: DataFrame, threshold: float) -> DataFrame:
     """Each member of a key with the key's smallest class of about its size."""
     sized = shared.withColumn("about", F.floor(F.log("n") / -F.log(F.lit(threshold))))
-    least = sized.groupBy("key", "about").agg(F.min(F.struct("cls", "n", "pos")).alias("m")).select("key", "about", "m.*")
+    least = sized.groupBy("key", "about").agg(F.min(F.struct("cls", "n", "pos")).alias("m"), F.max("cls").alias("most")).where("m.cls < most").select("key", "about", "m.*")
     met = least.alias("l").join(sized.alias("r"), ["key", "about"]).where((F.col("l.cls") < F.col("r.cls")) & _may_be_similar(threshold))
-    return met.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+    return met.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
 
 
 def _other_pairs(shared: DataFrame, components: DataFrame, threshold: float, tile: int) -> DataFrame:
@@ -136,18 +204,38 @@ def _other_pairs(shared: DataFrame, components: DataFrame, threshold: float, til
     return met.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
 
 
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+
+def _named_classes(slim: DataFrame, width: int, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, th, cls, ...)`` per row, and ``(node, component)`` for the classes that are linked to others."""
+    rows = _classes(slim, width, threshold)
+    exploded = rows.where(F.size("prefix") > 0).select("cls", "n", F.posexplode("prefix").alias("pos", "key"))
+    # A key's rows are combined in each task before they are counted; only keys of two classes or more are joined again.
+    keys = materialize(exploded.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key"), "keys")
+    few = keys.count() <= BROADCAST_ROWS
+    members = exploded.join(F.broadcast(keys) if few else keys, "key")
+    shared = materialize(members.groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "shared")
+    tried = materialize(_simhash_pairs(rows).union(_star_pairs(shared, threshold)).distinct(), "tried")
+    links = _similar(tried, slim, rows, width, threshold)
+    some = connected_components(links, "a", "b")
+    others = _other_pairs(shared, some, threshold, tile).join(tried, ["a", "b"], "left_anti")
+    more = _similar(others, slim, rows, width, threshold)
+    linked = connected_components(links.union(more), "a", "b")
+    drop_materialized(keys, shared, tried, links, more, some)
+    return rows, linked
+
+
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """``(id, component)``: per row the smallest id reachable over pairs of Jaccard ``threshold`` or more."""
-    rows = _classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), width, threshold)
-    first = rows.where(F.col("prefix").isNotNull()).select("cls", "n", F.posexplode("prefix").alias("pos", "key"))
-    members = first.repartition("key").groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    members = members.withColumn("m", F.expr("count(*) over (partition by key)"))
-    shared = materialize(members.where("m > 1").drop("m"), "shared")
-    tried = materialize(_star_pairs(shared, threshold), "pairs")
-    links = _similar(tried, rows, width, threshold)
-    others = _other_pairs(shared, connected_components(links, "a", "b"), threshold, tile)
-    others = materialize(others.join(tried, ["a", "b"], "left_anti"), "pairs")
-    linked = connected_components(links.union(_similar(others, rows, width, threshold)), "a", "b")
+    """``(id, component)``: per row the smallest id reachable over pairs of Jaccard ``threshold`` or more.
+
+    ``docs`` is read several times: hand in a table, not a long plan. Repeated
+    rows are members of one class; ids may be of any type that has an order;
+    rows without an id take the component of their class (null, if no row of
+    it has an id). An empty table gives an empty result.
+    """
+    rows, linked = _named_classes(_slim(docs, id_col, text_col), width, threshold, tile)
     least = rows.groupBy("cls").agg(F.min("id").alias("least"))
     named = materialize(least.join(linked, least.cls == linked.node, "left").select("cls", "least", F.coalesce("component", "cls").alias("c")), "named")
     of_class = named.select("cls", "c").join(named.groupBy("c").agg(F.min("least").alias("component")), "c").select("cls", "component")
@@ -155,5 +243,23 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, one row each; rows without an id stay."""
-    return keep_least(docs, near_copy_components(docs, id_col, text_col, width, threshold), id_col)
+    """One row of each component of near copies, with all its columns: that of the smallest id.
+
+    Rows without an id come after all others; of rows of one id, that whose
+    text has the smallest hash stays, and of rows equal in id and text any one.
+    Null and empty texts are one component. Columns of any name are kept.
+    """
+    rows, linked = _named_classes(_slim(docs, id_col, text_col), width, threshold, TILE)
+    # Equal rows are one before anything is joined, so no key of the joins below is hot.
+    texts = materialize(rows.groupBy("cls", "id", "th").agg(F.count("*").alias("n")), "texts")
+    least = texts.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "n")).alias("m"))
+    named = least.join(linked, least.cls == linked.node, "left").select("m", F.coalesce("component", "cls").alias("c"))
+    id_, th, n = fresh(docs.columns, "kept_id", "kept_th", "kept_n")
+    kept = materialize(named.groupBy("c").agg(F.min("m").alias("m")).select(F.col("m.id").alias(id_), F.col("m.th").alias(th), F.col("m.n").alias(n)), "kept")
+    drop_materialized(rows, texts, linked)
+    same = docs[id_col].eqNullSafe(kept[id_]) & (F.xxhash64(docs[text_col]) == kept[th])
+    if kept.where(F.col(n) > 1).isEmpty():  # the usual case: rows differ
+        return docs.join(kept, same, "left_semi")
+    marked = docs.join(kept, same)
+    once = marked.where(F.col(n) == 1).select(*docs.columns)
+    return once.unionByName(marked.where(F.col(n) > 1).dropDuplicates([id_, th]).select(*docs.columns))

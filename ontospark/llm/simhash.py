@@ -7,8 +7,10 @@ fingerprints share at least one such key, and an equality join on the keys
 followed by a check of the whole fingerprints finds every link.
 
 Null and empty texts have no words and so fingerprint zero, which links like
-any other. Copies collapse into their fingerprint before anything is joined.
-Rows without an id get a fingerprint and the component of that fingerprint.
+any other. Copies collapse into their fingerprint before anything is joined, so
+repeated rows are no group of their own. Rows without an id get a fingerprint
+and the component of that fingerprint. Ids may be of any type with an order.
+Removing near copies from a corpus is ``nearcopies.deduplicate``.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ontospark.llm.words import chunks, lean
 from ontospark.runtime import connected_components, materialize
@@ -88,8 +91,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = text_fingerprints(texts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(fp)], names=["id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(lean(run), "id long, fp long")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(lean(run), T.StructType([slim.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -204,24 +207,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("c").agg(F.min("least").alias("component"))
     of_class = named.select("fp", "c").join(least, "c").select("fp", "component")
     return rows.join(of_class, "fp").select("id", "fp", "component")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, one row each.
-
-    All columns stay. Rows without an id can't be chosen by id and stay.
-    """
-    return keep_least(docs, simhash_components(docs, id_col, text_col), id_col)
-
-
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is the ``component`` of their row ``id`` in ``found``, one row each, and those without an id."""
-    kept = found.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_n"))
-    kept = materialize(kept, "kept")
-    if kept.where("_n > 1").isEmpty():  # the usual case: ids are unique
-        chosen = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
-        return chosen.unionByName(docs.where(docs[id_col].isNull()))
-    marked = docs.join(kept, docs[id_col] == kept["_kept_id"], "left")
-    once = marked.where(docs[id_col].isNull() | (F.col("_n") == 1)).drop("_kept_id", "_n")
-    repeated = marked.where(F.col("_n") > 1).drop("_kept_id", "_n").dropDuplicates([id_col])
-    return once.unionByName(repeated)

@@ -52,10 +52,23 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, tile, common):
 def test_stage_drops_near_copies_that_differ_in_many_bits(spark):
     rows = planted()
     comp = brute_components([(k, shingles(t)) for k, t in rows], similar)
-    docs = spark.createDataFrame(rows, DOCS).withColumn("cls", F.lit("x"))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("cls", F.lit("x")).withColumn("kept_id", F.lit(1)).withColumn("TH", F.lit(2))
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert out.columns == docs.columns
     kept = {r.doc_id for r in out.collect()}
     assert kept == {k for (k, _), c in zip(rows, comp) if k == c}
-    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} > kept
+    by_bits = {r.id for r in simhash.simhash_components(docs).where("id = component").collect()}
+    assert len(by_bits) > len(kept)
     assert nearcopies.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_rows_are_told_apart_when_ids_repeat(spark):
+    x, y = "a b c d e f g h", "p q r s t u v w"
+    near = "a b c d e f g h " * 10
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in nearcopies.deduplicate(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept([(5, x), (5, y), (7, x)]) == [("5", x), ("5", y)]
+    assert kept([(2, y), (5, x), (5, y)]) == [("2", y), ("5", x)]
+    assert kept([(None, x), (None, x), (None, y), (3, y), (4, None), (6, "")]) == [("3", y), ("4", None), ("None", x)]
+    assert kept([(1, near), (1, near), (1, near), (2, near + "z")]) == [("1", near)]
+    strings = spark.createDataFrame([("b", x), ("a", x), ("c", y)], "doc_id string, text string")
+    assert sorted(r.doc_id for r in nearcopies.deduplicate(strings).collect()) == ["a", "c"]
