@@ -6,11 +6,15 @@ of ``span`` words, a shorter one as a single window. For windows of L words,
 k-grams with k = ceil(L/2) are hashed, and of every L-k+1 consecutive ones the
 smallest hash is kept as a fingerprint. Two texts that share L words share a
 fingerprint inside them, so the join of document and benchmark fingerprints
-misses no shared span; its hits are extended to whole windows, whose words are
-then compared themselves.
+misses no shared span. The hits are extended to the windows around them, and
+those are joined with the items' windows on the words themselves.
+
+What holds of a text holds of every row with that text, so rows are never told
+apart by their ids: results are kept by two hashes of the text (96 bits) and
+joined back to all its rows. Ids of documents and items may be of any type.
 
 Null and empty texts have no words: such documents are clean and such items
-match nothing. Repeated documents and items are judged row by row.
+match nothing. Repeated documents and items are judged row by row, alike.
 """
 
 from __future__ import annotations
@@ -20,23 +24,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontospark.llm.words import ODD, chunks, grams, lean, mix, scan
-from ontospark.runtime import materialize
+from ontospark.llm.words import IS_WORD, LOWER, ODD, chunks, fresh, grams, lean, mix, scan
+from ontospark.runtime import drop_materialized, materialize
 
 SPAN = 10
-#: UTF-8 bytes of benchmark text up to which the benchmark's tables go to every task; beyond, fingerprints are joined by shuffles.
-BROADCAST_BYTES = 32 << 20
+#: Rows (a few numbers each) up to which a table goes to every task rather than through a shuffle.
+BROADCAST_ROWS = 1 << 20
 _FIND = re.compile(rb"[0-9a-z\x80-\xff]+").findall
+
+
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` one after the other, and the number of words in each."""
     found = scan(texts)
     return found.hashes, found.counts
 
 
+def count_words(texts: list[str | None]) -> np.ndarray:
+    raw = [(t or "").encode() for t in texts]
+    inside = np.r_[False, IS_WORD[LOWER[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]]]
+    starts = np.r_[0, np.cumsum(inside[1:] & ~inside[:-1])]
+    bounds = np.r_[0, np.cumsum([len(t) + 1 for t in raw])].astype(np.int64)
+    return np.diff(starts[bounds]) if len(raw) else np.zeros(0, np.int64)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return _FIND(text.encode().lower()) if text else []
 
@@ -45,13 +59,13 @@ def winnow(words: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray
     """Positions and hashes of the kept k-grams of texts that lie one after the other in ``words``."""
     k = -(-span // 2)
     wide = span - k + 1
-    grams = grams(words, k)
+    hashes = grams(words, k)
     windows = len(words) - span + 1
     if windows <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least, at = grams[:windows].copy(), np.arange(windows)
+    least, at = hashes[:windows].copy(), np.arange(windows)
     for j in range(1, wide):
-        new = grams[j : j + windows]
+        new = hashes[j : j + windows]
         better = new <= least
         least = np.where(better, new, least)
         at = np.where(better, np.arange(windows) + j, at)
@@ -59,201 +73,140 @@ def winnow(words: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray
     owner = np.repeat(np.arange(len(counts)), counts)
     whole = np.arange(windows) + span <= last[owner[:windows]]
     at = np.unique(at[whole])
-    return at, grams[at]
-
-
-class Benchmark:
-    """The items' windows by length: fingerprints, window hashes, and the words behind each."""
-
-    def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN):
-        self.span, self.windows, self.prints = span, {}, {}
-        groups: dict[int, list[list[bytes]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            if words:
-                size = min(span, len(words))
-                groups.setdefault(size, []).append(words)
-                table = self.windows.setdefault(size, {})
-                for a in range(len(words) - size + 1):
-                    table.setdefault(b" ".join(words[a : a + size]), set()).add(item)
-        self.hashes = {}
-        for size, group in groups.items():
-            hashes, counts = hash_words([b" ".join(w) for w in group])
-            self.prints[size] = np.unique(winnow(hashes, counts, size)[1])
-            hashes, _ = hash_words(list(self.windows[size]))
-            self.hashes[size] = np.unique(grams(hashes, size)[::size])
-
-
-def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(table, values)
-    return table[np.minimum(at, len(table) - 1)] == values
-
-
-def extend(words: np.ndarray, counts: np.ndarray, at: np.ndarray, span: int, hashes: np.ndarray) -> np.ndarray:
-    """Starts of windows around the fingerprints ``at`` whose hash is one of an item's windows."""
-    k = -(-span // 2)
-    starts = np.unique((at[:, None] - np.arange(span - k + 1)[None, :]).ravel())
-    starts = starts[(starts >= 0) & (starts + span <= len(words))]
-    last = np.cumsum(counts)
-    owner = np.searchsorted(last, starts, "right")
-    starts = starts[starts + span <= last[np.minimum(owner, len(last) - 1)]] if len(last) else starts
-    out = np.zeros(len(starts), np.uint64)
-    for j in range(span):
-        out = mix(out * ODD + words[starts + j])
-    return starts[_member(out, hashes)] if len(starts) else starts
+    return at, hashes[at]
 
 
-def find_spans(texts: list[str | None], bench: Benchmark) -> list[tuple[int, list[int], set]]:
-    """For each text its number of words, the positions of its hit words, and the items with occurring windows."""
-    raw = [(t or "").encode() for t in texts]
-    words, counts = hash_words(raw)
-    first = np.cumsum(counts) - counts
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for size, prints in bench.prints.items():
-        at, grams = winnow(words, counts, size)
-        at = at[_member(grams, prints)] if len(at) else at
-        starts = extend(words, counts, at, size, bench.hashes[size]) if len(at) else at
-        owners = np.searchsorted(np.cumsum(counts), starts, "right")
-        for k, a in zip(owners.tolist(), starts.tolist()):
-            spans.setdefault(k, []).append((a - int(first[k]), size))
-    out = []
-    for k, n in enumerate(counts.tolist()):
-        hit, items = set(), set()
-        if k in spans:
-            own = _FIND(raw[k].lower())
-            for a, size in spans[k]:
-                found = bench.windows[size].get(b" ".join(own[a : a + size]))
-                if found:
-                    items |= found
-                    hit.update(range(a, a + size))
-        out.append((n, sorted(hit), items))
-    return out
-
-
-def _spans_schema(id_type: T.DataType, item_type: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(item_type))])
-
-
-def _local(slim: DataFrame, bench: DataFrame, span: int, schema: T.StructType) -> DataFrame:
-    shared = slim.sparkSession.sparkContext.broadcast([tuple(r) for r in bench.collect()])
-    kind = pa.int64() if isinstance(schema["items"].dataType.elementType, T.LongType) else pa.string()
+def _key(size: int, hashes: np.ndarray) -> np.ndarray:
+    """Fingerprints of windows of different lengths don't meet."""
+    return mix(hashes + np.uint64(size) * ODD).view(np.int64)
+
+
+def _text_keys(text_col: str) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text_col).alias("th"), F.crc32(F.col(text_col).cast("binary")).alias("tc")]
+
+
+def _item_windows(items: DataFrame, span: int) -> DataFrame:
+    """``(item, size, window)`` for every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Benchmark(shared.value, span)
         for batch in batches:
             for part, texts in chunks(batch.column(1)):
-                found = find_spans(texts, table)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array([n for n, _, _ in found], pa.int64()), pa.array([h for _, h, _ in found], pa.list_(pa.int64())), pa.array([sorted(i, key=str) for _, _, i in found], pa.list_(kind))],
-                    names=schema.names,
-                )
+                owners, sizes, found = [], [], []
+                for k, text in enumerate(texts, part.start):
+                    words = words_of(text)
+                    size = min(span, len(words))
+                    for a in range(len(words) - size + 1 if words else 0):
+                        owners.append(k), sizes.append(size), found.append(b" ".join(words[a : a + size]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(sizes, pa.int32()), pa.array(found, pa.binary())], names=["item", "size", "window"])
 
-    return slim.mapInArrow(lean(run), schema)
+    return items.mapInArrow(lean(run), T.StructType([items.schema["item"], T.StructField("size", T.IntegerType()), T.StructField("window", T.BinaryType())]))
 
 
-def _fingerprint_rows(df: DataFrame, sizes: list[int] | None, span: int) -> DataFrame:
-    """``(row, size, at, hash)``; ``sizes`` None: of an item, for its own window length alone."""
+def _window_prints(windows: DataFrame) -> DataFrame:
+    """``(print)``: the fingerprint of each window; those of a text's windows are those of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch.column(1)):
-                ids = batch.column(0).to_pylist()[part]
+            sizes = batch.column(0).to_numpy()
+            for size in np.unique(sizes).tolist():
+                words, counts = hash_words(batch.column(1).filter(pa.array(sizes == size)).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_key(size, winnow(words, counts, size)[1])))], names=["print"])
+
+    return windows.select("size", "window").mapInArrow(lean(run), "print long").distinct()
+
+
+def _document_prints(slim: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(th, tc, size, at, print)``: the fingerprints of each text for windows of each length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch.column(2)):
+                th, tc = (batch.column(k)[part.start : part.stop] for k in (0, 1))
                 words, counts = hash_words([(t or "").encode() for t in texts])
                 last = np.cumsum(counts)
-                for size in sizes if sizes is not None else range(1, span + 1):
-                    at, grams = winnow(words, counts, size)
+                for size in sizes:
+                    at, hashes = winnow(words, counts, size)
                     owner = np.searchsorted(last, at, "right")
-                    if sizes is None:
-                        own = np.minimum(counts[owner], span) == size
-                        at, grams, owner = at[own], grams[own], owner[own]
-                    rows = np.array(ids, np.int64)[owner] if len(at) else np.zeros(0, np.int64)
                     first = (last - counts)[owner] if len(at) else at
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(at), size, np.int32)), pa.array(at - first), pa.array(grams.view(np.int64))], names=["row", "size", "at", "hash"])
-
-    return df.mapInArrow(lean(run), "row long, size int, at long, hash long")
+                    own = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([th.take(own), tc.take(own), pa.array(np.full(len(at), size, np.int32)), pa.array(at - first), pa.array(_key(size, hashes))], names=["th", "tc", "size", "at", "print"])
 
+    return slim.select("th", "tc", "text").mapInArrow(lean(run), "th long, tc long, size int, at long, print long")
 
-def _shuffled(slim: DataFrame, bench: DataFrame, span: int, schema: T.StructType) -> DataFrame:
-    """The same result when the benchmark is too large for one task: fingerprints meet in a join.
 
-    A hit's windows (a few words around a fingerprint) are rows on both sides,
-    and equal ones are found by a second join on the words themselves.
-    """
+def _extended(texts: DataFrame) -> DataFrame:
+    """``(th, tc, size, start, window)``: every window around the hits ``ats`` of a text."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, starts, texts, totals = [], [], [], [], []
-            for row, text, ats in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = words_of(text)
-                for size in {x["size"] for x in ats}:
-                    k = -(-size // 2)
-                    near = {x["at"] - j for x in ats if x["size"] == size for j in range(size - k + 1)}
+            owners, sizes, starts, found = [], [], [], []
+            for row, (text, ats) in enumerate(zip(batch.column(2), batch.column(3))):
+                words = words_of(text.as_py())
+                hits: dict[int, set[int]] = {}
+                for x in ats.as_py():
+                    hits.setdefault(x["size"], set()).update(range(x["at"] - (x["size"] - -(-x["size"] // 2)), x["at"] + 1))
+                for size, near in hits.items():
                     for a in sorted(a for a in near if 0 <= a <= len(words) - size):
-                        rows.append(row), sizes.append(size), starts.append(a), texts.append(b" ".join(words[a : a + size])), totals.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], names=["row", "size", "start", "window"])
+                        owners.append(row), sizes.append(size), starts.append(a), found.append(b" ".join(words[a : a + size]))
+            own = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(sizes, pa.int32()), pa.array(starts, pa.int64()), pa.array(found, pa.binary())], names=["th", "tc", "size", "start", "window"]
+            )
+
+    return texts.mapInArrow(lean(run), "th long, tc long, size int, start long, window binary")
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, span: int) -> DataFrame:
+    """``(th, tc, size, start, item)``: where each item's windows occur in each text."""
+    slim = docs.select(*_text_keys(text_col), F.col(text_col).alias("text")).where(F.octet_length("text") > 0)
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    windows = materialize(_item_windows(items, span).distinct(), "windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # no more than ``span``
+    prints = materialize(_window_prints(windows), "prints")
+    few = prints.count() <= BROADCAST_ROWS
+    hits = _document_prints(slim, sizes).join(F.broadcast(prints) if few else prints, "print").select("th", "tc", "size", "at")
+    hits = materialize(hits.groupBy("th", "tc").agg(F.collect_set(F.struct("size", "at")).alias("ats")), "hits")
+    few = (hits.agg(F.sum(F.size("ats"))).first()[0] or 0) <= BROADCAST_ROWS
+    around = _extended(slim.join(F.broadcast(hits) if few else hits, ["th", "tc"]).select("th", "tc", "text", "ats"))
+    met = materialize(around.join(windows, ["size", "window"]).select("th", "tc", "size", "start", "item").distinct(), "met")
+    drop_materialized(windows, prints, hits)
+    return met
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """``(id, n_words, hits, items)`` per row of ``docs``: word positions inside item windows, and those items, sorted.
+
+    Items whose id is null are left out of ``items``; the words they hit count.
+    """
+    met = _met(docs, benchmark, text_col, item_col, item_text_col, span)
+    places = F.sequence("start", F.col("start") + F.col("size") - 1)
+    per_text = materialize(met.groupBy("th", "tc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(places)))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items")), "spans")
+    drop_materialized(met)
+    slim = docs.select(F.col(id_col).alias("id"), *_text_keys(text_col), F.col(text_col).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["row", "n_words"])
-
-    kind = "row long, size int, start long, window binary"
-    docs = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
-    items = materialize(bench.withColumn("row", F.monotonically_increasing_id()), "items")
-    item_prints = materialize(_fingerprint_rows(items.select("row", "text"), None, span), "prints")
-    sizes = [r["size"] for r in item_prints.select("size").distinct().collect()]
-    doc_prints = _fingerprint_rows(docs.select("row", "text"), sizes, span)
-    hits = materialize(doc_prints.join(item_prints.select("size", "hash").distinct(), ["size", "hash"], "left_semi"), "hits")
-
-    def around(rows: DataFrame, prints: DataFrame) -> DataFrame:
-        per_row = prints.groupBy("row").agg(F.collect_set(F.struct("size", "at")).alias("ats"))
-        return rows.join(per_row, "row").select("row", "text", "ats").mapInArrow(lean(windows), kind)
-
-    item_windows = around(items.select("row", "text"), item_prints).join(items.select("row", "item"), "row").select("size", "window", "item").distinct()
-    doc_windows = materialize(around(docs.select("row", "text"), hits), "windows")
-    met = materialize(doc_windows.join(item_windows, ["size", "window"]).select("row", "size", "start", "item"), "met")
-    per_doc = met.groupBy("row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1))))).alias("hits"),
-        F.collect_set("item").alias("items"),
-    )
-    total = docs.select("row", "text").mapInArrow(lean(counted), "row long, n_words long")
-    out = docs.select("row", "id").join(total, "row").join(per_doc, "row", "left")
-    empty = F.array().cast(T.ArrayType(T.LongType()))
-    return out.select("id", "n_words", F.coalesce("hits", empty).alias("hits"), F.coalesce("items", F.array().cast(schema["items"].dataType)).alias("items"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``(id, n_words, hits, items)`` per row of ``docs``: word positions inside item windows, and those items.
-
-    Items whose id is null count as one item named null and are left out of
-    ``items``; the words they hit count.
-    """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    item = benchmark.schema[item_col].dataType
-    whole = isinstance(item, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    bench = benchmark.select(F.col(item_col).cast("long" if whole else "string").alias("item"), F.col(item_text_col).alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    schema = _spans_schema(slim.schema["id"].dataType, T.LongType() if whole else T.StringType())
-    found = (_local if size <= broadcast_bytes else _shuffled)(slim, bench, span, schema)
-    return found.withColumn("items", F.filter("items", lambda x: x.isNotNull()))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` without those that hold a window of an item; all columns stay."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    if size > broadcast_bytes:
-        # Ids may be null or repeated, so rows are told apart by a number of their own.
-        row = next(name for k in range(len(docs.columns) + 1) if (name := f"_row{k}") not in docs.columns)
-        rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-        found = contamination(rows, benchmark, row, text_col, span=span, broadcast_bytes=broadcast_bytes)
-        dirty = found.where(F.size("hits") > 0).select(F.col("id").alias(row))
-        return rows.join(dirty, row, "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in benchmark.select("item_id", "text").collect()])
-    at = docs.columns.index(text_col)
+            for part, texts in chunks(batch.column(3)):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(count_words(texts))], names=["id", "th", "tc", "n_words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Benchmark(shared.value, span)
-        for batch in batches:
-            clean = [not hits for _, texts in chunks(batch.column(at)) for _, hits, _ in find_spans(texts, table)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    kinds = T.StructType([*slim.schema.fields[:3], T.StructField("n_words", T.LongType())])
+    few = (per_text.agg(F.sum(F.size("hits") + F.size("items"))).first()[0] or 0) <= BROADCAST_ROWS
+    out = slim.mapInArrow(lean(counted), kinds).join(F.broadcast(per_text) if few else per_text, ["th", "tc"], "left")
+    none = [F.array().cast(per_text.schema[c].dataType) for c in ("hits", "items")]
+    return out.select("id", "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` without those that hold a window of an item; all columns stay, of any name.
+
+    Rows are judged by their text alone: null and repeated ids don't matter.
+    """
+    th, tc = fresh(docs.columns, "dirty_th", "dirty_tc")
+    met = _met(docs, benchmark, text_col, item_col, item_text_col, span)
+    dirty = materialize(met.select(F.col("th").alias(th), F.col("tc").alias(tc)).distinct(), "dirty")
+    drop_materialized(met)
+    few = dirty.count() <= BROADCAST_ROWS
+    own = _text_keys(text_col)
+    return docs.join(F.broadcast(dirty) if few else dirty, (own[0] == dirty[th]) & (own[1] == dirty[tc]), "left_anti")
