@@ -12,8 +12,11 @@ it. Within a range the chains of candidates are followed to the offset where
 they leave it; over ranges, pointer jumping from the start of the file finds
 where the true chain enters each. Only candidates on that chain are records.
 
-Null payloads are empty, null ids are written as an empty id. Empty input gives
-no files and no records. Headers are never taken from a payload.
+Files compressed as gzip members (``.gz``) are read by one task each, as they
+can't be cut into ranges; plain ones are read by ranges.
+
+Null payloads are empty, null ids are written without a number. Empty input
+gives no files and no records. Headers are never taken from a payload.
 """
 
 from __future__ import annotations
@@ -38,28 +41,31 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def revisits(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``(id, refers_to)`` for the rows of ``(id, payload)`` that repeat the payload of a larger id.
+    """``(id, digest, refers_to)`` for the rows of ``(id, payload)`` that repeat the payload of a larger id.
 
-    Only digests are shuffled, counted in each task first.
+    One id may come with several payloads: each is judged by itself. A row
+    without an id repeats any row of its payload that has one. Only digests are
+    shuffled, counted in each task first.
     """
     slim = records.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
-    slim = materialize(slim.where((F.col("bytes") >= min_bytes) & F.col("id").isNotNull()), "digests")
-    groups = slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return slim.join(groups, "digest").where("id < refers_to").select("id", "refers_to").distinct()
+    slim = materialize(slim.where(F.col("bytes") >= min_bytes).groupBy("digest", "id").agg(F.count("*").alias("n")), "digests")
+    groups = slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("ids")).where("ids > 1 and refers_to is not null")
+    return slim.join(groups, "digest").where("id is null or id < refers_to").select("id", "digest", "refers_to")
 
 
 def write_archives(records: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Write ``(id long, uri string, payload string or binary)`` as WARC files under ``path``.
+    """Write ``(id, uri string, payload string or binary)`` as WARC files under ``path``; ids of any type with an order.
 
-    Of rows with the same id and payload the repeats are responses too.
+    Of rows with the same id and payload the repeats are responses too, and so
+    are all rows of a payload none of which has an id.
     """
     body = records.select("id", "uri", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
-    again = materialize(revisits(body, min_bytes), "revisits")
+    again = materialize(revisits(body, min_bytes).withColumnsRenamed({"id": "old_id", "digest": "old_digest"}), "revisits")
     few = again.count() <= BROADCAST_ROWS
-    body = body.join(F.broadcast(again) if few else again, "id", "left")
-    is_revisit = F.col("refers_to").isNotNull() & (F.octet_length("payload") >= min_bytes)
-    digest = F.sha1("payload")
-    name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    body = body.withColumn("digest", F.sha1("payload"))
+    body = body.join(F.broadcast(again) if few else again, F.col("id").eqNullSafe(F.col("old_id")) & (F.col("digest") == F.col("old_digest")), "left")
+    is_revisit = F.col("refers_to").isNotNull()
+    name = lambda c: F.when(c.isNull(), F.lit("<urn:record>")).otherwise(F.concat(F.lit("<urn:record:"), F.url_encode(c.cast("string")), F.lit(">")))
     block = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload"))
     line = lambda key, value: F.concat(F.lit(key + ": "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.coalesce("uri", F.lit("")), "[\\x00-\\x20\\x7f]", "%20")
@@ -69,7 +75,7 @@ def write_archives(records: DataFrame, path: str, min_bytes: int = MIN_BYTES) ->
         line("WARC-Record-ID", name(F.col("id"))),
         line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
         line("WARC-Target-URI", clean),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(is_revisit, F.concat(line("WARC-Refers-To", name(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)), line("X-Payload-Length", F.octet_length("payload").cast("string")))).otherwise(F.lit("")),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
@@ -261,15 +267,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", path: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Write ``pages`` as WARC files and read them back: ``(id, payload_bytes, payload_digest, record_type, refers_to)``."""
+    """Write ``pages`` as WARC files and read them back: ``(id, payload_bytes, payload_digest, record_type, refers_to)`` per row.
+
+    Repeated ids with different payloads are records of their own.
+    """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_archives(pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), F.col(payload_col).alias("payload")), f"{path}/archive", min_bytes)
-    number = lambda c: F.regexp_extract(c, "^<urn:record:(-?[0-9]+)>$", 1).try_cast("long")
+    kind = pages.schema[id_col].dataType
+    write_archives(pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.col(payload_col).alias("payload")), f"{path}/archive", min_bytes)
+    name = lambda c: F.url_decode(F.when(c.startswith("<urn:record:"), F.substr(c, F.lit(13), F.length(c) - 13))).try_cast(kind)
     return read_archives(spark, f"{path}/archive").select(
-        number(F.col("id")).alias("id"),
+        name(F.col("id")).alias("id"),
         F.when(F.col("type") == "revisit", F.col("stated_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(F.col("type") == "revisit", F.regexp_replace("stated_digest", "^sha1:", "")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
-        number(F.col("refers_to")).alias("refers_to"),
+        name(F.col("refers_to")).alias("refers_to"),
     )
