@@ -5,8 +5,11 @@ written with the strings to two files that every executor fetches and maps
 into memory. A url asks for each of its host's suffixes with each of its path's
 prefixes of a length that some rule has; a batch's keys are probed by one
 vectorised binary search, and a hit counts only if the stored string is the
-same, so colliding keys decide nothing. The longest rule wins; of equal rules
-with both verdicts, block does. Urls that no rule fits are allowed.
+same, so colliding keys decide nothing. The longest rule wins; of rules as long
+as each other that with the longer host, and of one rule with both verdicts
+block. Urls that no rule fits are allowed. A rule with a null host, path or
+verdict is no rule, nor is one whose path doesn't begin with ``/``: no url's
+path could begin with it.
 
 Null urls and urls without ``://`` have an empty host and path, which no rule
 fits. Rows are judged one by one, repeated ones alike.
@@ -30,9 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ontospark.llm.words import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of rules up to which each executor maps them all; beyond, candidates are joined to the rules.
-INDEX_BYTES = 1 << 28
+INDEX_BYTES = 1 << 26
+#: Between a rule's host and path in the index.
+SEP = "\0"
 
 
 def with_host_and_path(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -56,9 +63,7 @@ def write_index(rules: list[tuple[str, str, str]], folder: str) -> None:
     """``(host, path, verdict)`` rules as ``keys.npy`` (sorted), and the strings, verdicts and path lengths beside them."""
     best: dict[str, str] = {}
     for host, path, verdict in rules:
-        if verdict not in ("allow", "block"):
-            raise ValueError(f"no such verdict: {verdict}")
-        best[host + path] = "block" if "block" in (verdict, best.get(host + path)) else "allow"
+        best[host + SEP + path] = "block" if "block" in (verdict, best.get(host + SEP + path)) else "allow"
     strings = sorted(best, key=_key)
     blob = [s.encode() for s in strings]
     np.save(f"{folder}/keys.npy", np.array([_key(s) for s in strings], np.uint64))
@@ -85,7 +90,7 @@ class Index:
                     if n > len(path):
                         break
                     owners.append(k)
-                    texts.append(suffix + path[:n])
+                    texts.append(suffix + SEP + path[:n])
         out: list[tuple[str | None, str]] = [(None, "allow")] * len(hosts)
         if not len(self.keys) or not texts:
             return out
@@ -96,8 +101,8 @@ class Index:
             while k < len(self.keys) and self.keys[k] == keys[c]:
                 if self.string(k) == texts[c]:
                     rule, _ = out[owners[c]]
-                    if rule is None or len(texts[c]) > len(rule):
-                        out[owners[c]] = (texts[c], "block" if self.blocks[k] else "allow")
+                    if rule is None or len(texts[c]) > len(rule) + 1:  # longer hosts come first
+                        out[owners[c]] = (texts[c].replace(SEP, ""), "block" if self.blocks[k] else "allow")
                     break
                 k += 1
         return out
@@ -133,8 +138,13 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", index_by
     """``urls`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of those names are replaced.
 
     ``rules`` has ``host``, ``path`` and ``verdict``. Above ``index_bytes`` of
-    rules, the candidates of distinct urls are joined to the rules instead.
+    rules, the candidates of distinct urls are joined to the rules instead; the
+    result is the same. Any other verdict than allow or block is an error.
     """
+    rules = rules.select("host", "path", "verdict").dropna().where((F.col("path") == "") | F.col("path").startswith("/"))
+    odd = rules.where(~F.col("verdict").isin("allow", "block")).head()
+    if odd:
+        raise ValueError(f"no such verdict: {odd['verdict']}")
     size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 17).alias("b")).first()["b"] or 0
     split = with_host_and_path(urls.drop(*({"host", "path", "rule", "verdict"} - {url_col})), url_col)
     if size > index_bytes:
@@ -155,13 +165,16 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", index_by
 
 def _joined(split: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
-    distinct = split.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
+    host, path, rule, n = fresh(split.columns, "u_host", "u_path", "rule", "n")
+    distinct = split.select(F.col("host").alias(host), F.col("path").alias(path)).distinct()
+    labels = F.split(host, r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
-    each = distinct.where("host <> ''").select("host", "path", suffix.alias("s"))
-    each = each.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.length("path") >= F.col("n"))
-    each = each.select("host", "path", F.concat("s", F.substr("path", F.lit(1), F.col("n"))).alias("rule"))
-    single = rules.groupBy(F.concat("host", "path").alias("rule")).agg(F.max("verdict").alias("verdict"))
-    best = each.join(single, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("b"))
-    out = split.join(best, ["host", "path"], "left")
-    return out.select(*split.columns, F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
+    each = distinct.where(F.col(host) != "").select(host, path, suffix.alias("s"))
+    each = each.withColumn(n, F.explode(F.array(*[F.lit(k) for k in lengths]))).where(F.length(path) >= F.col(n))
+    each = each.select(host, path, F.col("s").alias("r_host"), F.substr(path, F.lit(1), F.col(n)).alias("r_path"))
+    single = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
+    order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
+    best = each.join(single, ["r_host", "r_path"]).groupBy(host, path).agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), order).alias(rule))
+    out = split.join(best, (split["host"] == best[host]) & (split["path"] == best[path]), "left")
+    own = [split[c] for c in split.columns]
+    return out.select(*own, best[rule]["rule"].alias("rule"), F.coalesce(best[rule]["r_verdict"], F.lit("allow")).alias("verdict"))
