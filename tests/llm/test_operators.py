@@ -105,9 +105,22 @@ def test_urls(spark):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(df, table, index_bytes=size).collect()}
         assert got == {k: judge(u) for k, u in enumerate(urls)}
     assert {r.verdict for r in urlfilter.judge_urls(df, table.limit(0)).collect()} == {"allow"}
+    # Ties, rules with nulls, and rules whose parts only seem to fit once they are put together.
+    odd = [("a.com", "/xy", "block"), ("com", "/xyyy", "allow"), (None, "/", "block"), ("a.com", None, "block"), ("a.com", "/", None), ("x", "y.org/", "block")]
+    table = spark.createDataFrame(odd, "host string, path string, verdict string")
+    more = spark.createDataFrame([(1, "http://a.com/xyyy"), (2, "http://xy.org/"), (3, "http://b.a.com/")], "page_id long, url string").withColumn("u_host", F.lit("?")).withColumn("s", F.lit(1))
+    for size in (1 << 20, 0):
+        judged = urlfilter.judge_urls(more, table, index_bytes=size)
+        assert judged.columns == [*more.columns, "host", "path", "rule", "verdict"]
+        assert [(r.page_id, r.rule, r.verdict) for r in judged.orderBy("page_id").collect()] == [(1, "a.com/xy", "block"), (2, None, "allow"), (3, None, "allow")]
     assert urlfilter.judge_urls(df.limit(0), table).count() == 0
 
 
+def test_url_verdicts_must_be_known(spark):
+    with pytest.raises(ValueError):
+        urlfilter.judge_urls(spark.createDataFrame([(1, "http://a")], "page_id long, url string"), spark.createDataFrame([("a", "/", "maybe")], "host string, path string, verdict string"))
+
+
 def test_url_index_confirms_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter, "_key", lambda text: len(text) % 3)
     urlfilter.write_index([("com", "/a", "block"), ("org", "/a", "allow"), ("net", "/b", "block")], str(tmp_path))
@@ -174,7 +187,7 @@ def windows_brute(docs, items, span):
     return sorted(out)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(6)
     some = lambda n: " ".join(rng.choice("ab cd ef GH ij é".split()) for _ in range(n))
     items = [(k, some(rng.choice([1, 3, 9, 10, 12, 30]))) for k in range(12)] + [(50, ""), (51, None), (52, "?!"), (1, "only once here")]
@@ -182,22 +195,25 @@ def test_decontamination(spark):
     d = spark.createDataFrame(docs, DOCS)
     b = spark.createDataFrame(items, "item_id long, text string")
     for limit in (1 << 20, 0):
-        got = sorted((str(r.id), r.n_words, tuple(r.hits), tuple(sorted(r["items"]))) for r in decontaminate.contamination(d, b, broadcast_bytes=limit).collect())
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+        got = sorted((str(r.id), r.n_words, tuple(r.hits), tuple(sorted(r["items"]))) for r in decontaminate.contamination(d, b).collect())
         assert got == windows_brute(docs, items, 10)
-        clean = decontaminate.decontaminate(d.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("item_id", F.lit(1)), b, broadcast_bytes=limit)
-        assert clean.columns == ["doc_id", "text", "item_id"]
     assert decontaminate.contamination(d, b.limit(0)).where("size(hits) > 0").count() == 0
     assert decontaminate.contamination(d.limit(0), b).count() == 0
+    named = decontaminate.contamination(d, b.selectExpr("concat('i', item_id) name", "text item"), item_col="name", item_text_col="item")
+    assert sorted((str(r.id), tuple(r["items"])) for r in named.collect()) == sorted((k, tuple(sorted(f"i{x}" for x in found))) for k, _, _, found in windows_brute(docs, items, 10))
 
 
-def test_decontamination_judges_rows_not_ids(spark):
-    docs = spark.createDataFrame([(None, "one two three"), (None, "clean text"), (7, "one two three"), (7, "other text"), (7, None), (8, "one two three")], DOCS)
-    docs = docs.withColumn("_row0", F.lit("x"))
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decontamination_judges_rows_not_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    docs = spark.createDataFrame([(None, "one two three"), (None, "clean text"), (7, "one two three"), (7, "other text"), (7, None), (8, "one two three"), (7, "other text")], DOCS)
+    for c in ("dirty_th", "_dirty_th", "tc", "item_id", "TH"):
+        docs = docs.withColumn(c, F.lit("x"))
     bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
-    for limit in (1 << 20, 0):
-        clean = decontaminate.decontaminate(docs, bench, broadcast_bytes=limit)
-        assert clean.columns == docs.columns
-        assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == [("7", "None"), ("7", "other text"), ("None", "clean text")]
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == [("7", "None"), ("7", "other text"), ("7", "other text"), ("None", "clean text")]
 
 
 def test_winnowing_keeps_a_fingerprint_of_every_span():
@@ -237,6 +253,27 @@ def test_warc(spark, split):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    a, b, c = ("A" * 1200, "B" * 1200, "C" * 1200)
+    rows = [(5, a), (9, a), (5, b), (8, b), (None, b), (None, c), (5, b), (3, "B" * 10)]
+    df = spark.createDataFrame([(k, "u", t) for k, t in rows], "page_id long, url string, html string")
+    got = sorted((str(r.id), r.payload_digest[:6], r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()[:6]
+    want = [("5", sha(a), "revisit", 9), ("9", sha(a), "response", None), ("5", sha(b), "revisit", 8), ("5", sha(b), "revisit", 8), ("8", sha(b), "response", None)]
+    want += [("None", sha(b), "revisit", 8), ("None", sha(c), "response", None), ("3", sha("B" * 10), "response", None)]
+    assert got == sorted(want)
+    named = spark.createDataFrame([("x y>/é", "u", a), ("", "u", "q")], "page_id string, url string, html string")
+    assert sorted(r.id for r in warc.archive_round_trip(named).collect()) == ["", "x y>/é"]
+
+
+def test_warc_reads_gzip_members(spark, tmp_path):
+    import gzip
+
+    record = lambda k: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:{k}>\r\nContent-Length: 3\r\n\r\nab{k}\r\n\r\n".encode()
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(record(k)) for k in range(5)))
+    assert sorted((r.id, r.bytes) for r in warc.read_archives(spark, str(tmp_path)).collect()) == [(f"<urn:record:{k}>", 3) for k in range(5)]
+
+
 VECTORS = [
     (1, [0.0, 0.0], 1), (2, None, 1), (3, [1.0, None], 1), (4, [1.0, 0.1], 1), (5, [1.0, 0.1], 1), (6, [2.0, 0.2], 1), (7, [1.0, 0.1], None), (8, [1.0, float("nan")], 1),
     (9, [1.0, 0.1, 0.0], 1), (10, [1.0], 1), (11, [3.0], 1), (12, [], 1), (13, [1e30, 1e29], 1), (14, [1.0, 0.3], 1), (15, [float("inf"), 1.0], 1), (4, [1.0, 0.1], 1),
