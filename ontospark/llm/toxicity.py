@@ -6,10 +6,13 @@ noisy-or 1 - product(1 - p) over its sentences, and the weights are learned
 from the documents' labels through that formula, so the sentence scores tell
 where the offence stands. Words are hashed; weights are kept sparse by L1.
 
-The fit takes a bounded sample of labelled documents (``SAMPLE_DOCS``, the
-first by a hash of their id); scoring covers every whole text. Null and empty
-texts have no sentence and score 0. A document with several labels is toxic if
-one of them says so; null labels and null ids teach nothing.
+The fit takes a bounded sample of labelled documents: the first by a hash of
+their id and text, ``SAMPLE_DOCS`` of them and ``SAMPLE_BYTES`` of text at
+most (a text that goes beyond it by itself teaches nothing). Scoring covers
+every whole text. Null and empty texts have no sentence and score 0. An id with
+several labels is toxic if one of them says so; of an id with several texts
+each counts as a document, and equal rows count once. Null labels and null ids
+teach nothing. Without labels, or labels of one kind only, all scores are alike.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontospark.llm.words import chunks, lean, scan
-from ontospark.runtime import materialize
+from ontospark.runtime import drop_materialized, materialize
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 12_000
+#: UTF-8 bytes of their texts, at most.
+SAMPLE_BYTES = 64 << 20
 #: Slots that words are hashed to.
 SLOTS = 1 << 18
 #: Lengths in bytes of the words' beginnings that count.
@@ -113,11 +118,22 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, labels: np
     return Model(weights, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> Model:
-    """A model from the labelled documents that aren't held out; the sample's ids, not texts, are sorted."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from the labelled documents that aren't held out; the sample's numbers, not texts, are sorted."""
+    spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    wanted = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.octet_length(text_col).alias("bytes"), F.col(text_col).alias("text")).where("bytes > 0")
+    # Ids may repeat, so the bound is kept by rows of id and text.
+    listed = slim.join(F.broadcast(wanted), "id").select("id", "th", "bytes", "label").distinct().orderBy(F.xxhash64("id", "th"), "id", "th").limit(sample).collect()
+    taken, left = [], sample_bytes
+    for r in listed:
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            taken.append((r["id"], r["th"], r["label"]))
+    kinds = T.StructType([slim.schema["id"], T.StructField("th", T.LongType()), T.StructField("label", T.IntegerType())])
+    chosen = spark.createDataFrame(taken, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1][at]), pa.array(seen[0][at])], names=["slot", "toxic", "clean"])
 
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col(text_col).alias("text"), "_label")
-    # Repeated rows of a chosen id could exceed the bound.
-    rows = materialize(texts.mapInArrow(lean(run), "slots binary, sentence binary, total int, label int").limit(2 * sample), "features")
+    texts = slim.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th"]).select("text", "label")
+    rows = materialize(texts.mapInArrow(lean(run), "slots binary, sentence binary, total int, label int"), "features")
     many = {int(r["label"] > 0): r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counts = rows.repartition(4).mapInArrow(lean(count), "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     useful = np.zeros(SLOTS, bool)
@@ -156,14 +171,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), *batch.columns[2:]], names=batch.schema.names)
 
     found = [(bytes(r["slots"]), bytes(r["sentence"]), r["total"], r["label"]) for r in rows.mapInArrow(lean(keep), rows.schema).collect() if r["total"]]
+    drop_materialized(rows)
     found.sort()  # sums don't depend on the tasks' order
     bags = [(np.frombuffer(s, "<i4"), np.frombuffer(k, "<i4")) for s, k, _, _ in found]
     return fit(bags, np.array([t for _, _, t, _ in found]), np.array([y for _, _, _, y in found]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text; a column of that name is replaced."""
-    docs = docs.drop(out_col) if out_col != text_col else docs
+    """``docs`` with the score of each whole text as ``out_col``, a name that ``docs`` hasn't, or its column is replaced."""
+    if out_col.lower() == text_col.lower():
+        raise ValueError("the score can't replace the text")
+    docs = docs.drop(out_col)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
