@@ -80,13 +80,13 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[slice, list[str | None]]]:
-    """Rows of a text column about ``CHUNK`` bytes at a time, so that a batch is never whole in Python's own strings."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[slice, list[str | None]]]:
+    """Rows of a text column about ``size`` bytes at a time, so that a batch is never whole in Python's own strings."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
         yield slice(at, to), column.slice(at, to - at).to_pylist()
         at = to
 
