@@ -288,8 +288,15 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     id_type = to_arrow_type(kind)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = materialize(word_table(slim, tokenizer_path), "words")
-    # Of words as common as each other, which are taken depends on their text alone.
-    top = words.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").collect()
+    # A histogram of counts, of some hundred bins, says how common a word must be for no more than ``frequent`` to be so.
+    able = words.where(F.length("word") <= FREQUENT_CHARS).withColumn("bin", F.floor(F.log2("n") * 8).cast("int"))
+    bins, left, least = able.groupBy("bin").agg(F.count("*").alias("m")).collect(), frequent, 1 << 30
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        left -= r["m"]
+        if left < 0:
+            break
+        least = r["bin"]
+    top = sorted(able.where(F.col("bin") >= least).select("word", "n", "ids").collect(), key=lambda r: (-r["n"], r["word"]))
     known = spark.sparkContext.broadcast(([r["word"] for r in top], [bytes(r["ids"]) for r in top]))
     blocks = materialize(slim.mapInArrow(lean(_coded_blocks(tokenizer_path, known, block_bytes, id_type)), _CODED), "blocks")
     rare = blocks.where("word is not null").select("block", "number", "word")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,9 +41,20 @@ def planted(seed=5):
     return [(100 + k, t) for k, (_, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("tile,common", [(1024, 8), (4, 8), (4, 10**9)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, tile, common):
+def test_bitmaps_differ_no_more_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 100, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.r_[x[rng.random(len(x)) < 0.8], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)])
+        a, b = nearcopies.bitmaps(np.r_[x, y], np.array([len(x), len(y)]))
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("tile,common,heavy", [(1024, 8, 16), (4, 8, 2), (4, 10**9, 10**9)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, tile, common, heavy):
     monkeypatch.setattr(nearcopies, "COMMON", common)
+    monkeypatch.setattr(nearcopies, "HEAVY", heavy)
+    monkeypatch.setattr(nearcopies, "CENTRES", 1 + heavy % 2)
     rows = [*TEXTS, *planted()]
     got = sorted((str(r.id), r.component) for r in nearcopies.near_copy_components(spark.createDataFrame(rows, DOCS), tile=tile).collect())
     comp = brute_components([(k, shingles(t)) for k, t in rows], similar)
