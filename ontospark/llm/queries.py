@@ -145,12 +145,21 @@ ORACLE_SQL: dict[str, str] = {
         FROM embeddings JOIN least ON vec_id = least.x LEFT JOIN many ON vec_id = many.x""",
     "op8_licenses": f"""
         WITH listed(template, license, ttext) AS (VALUES {_TEMPLATES}),
-        known AS (SELECT template, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tb FROM (SELECT template, license, {_BIGRAMS % "ttext"} AS w FROM listed)),
+        known AS (SELECT template, license, len(w) AS length, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tb FROM (SELECT template, license, {_BIGRAMS % "ttext"} AS w FROM listed) WHERE len(w) > 1),
         docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
-        units AS (SELECT k, unnest(CASE WHEN strpos(text, chr(10)) > 0 THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS part, unnest(range(0, len(string_split(text, chr(10))) + CASE WHEN strpos(text, chr(10)) > 0 THEN 1 ELSE 0 END)) AS u FROM docs WHERE text IS NOT NULL),
-        pairs AS (SELECT k, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ub FROM (SELECT k, u, {_BIGRAMS % "part"} AS w FROM units) WHERE len(w) > 1),
-        dice AS (SELECT k, u, template, license, 2 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS d FROM pairs JOIN known ON 0.8 * len(ub) <= 1.2 * len(tb) + 1e-9 AND 0.8 * len(tb) <= 1.2 * len(ub) + 1e-9),
-        best AS (SELECT k, u, license, d FROM dice WHERE d >= 0.8 QUALIFY row_number() OVER (PARTITION BY k, u ORDER BY d DESC, template) = 1),
+        cut AS (SELECT k, list_filter(list_transform(string_split(text, chr(10)), lambda l: {_BIGRAMS % "l"}), lambda l: len(l) > 0) AS lines FROM docs WHERE text IS NOT NULL),
+        flat AS (SELECT k, lines, flatten(lines) AS w, list_transform(range(1, len(lines) + 1), lambda i: coalesce(list_sum(list_transform(lines[:i - 1], lambda l: len(l))), 0)::BIGINT) AS starts FROM cut),
+        texts AS (SELECT k, lines, w, starts, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM flat WHERE len(w) > 1),
+        pairs AS (SELECT t.*, template, license, length, tb, list_intersect(list_distinct(b), tb) AS common FROM texts t JOIN known ON len(list_intersect(list_distinct(b), tb)) >= len(tb) * {licenses.THRESHOLD / (2 - licenses.THRESHOLD)} - 1e-9),
+        begun AS (SELECT *, unnest(range(1, len(lines) + 1)) AS l FROM pairs),
+        runs AS (SELECT * EXCLUDE (l), l, starts[l] AS s, coalesce(starts[l + 1], len(w)) AS e, len(list_filter(starts, lambda x: x < least(starts[l] + length, len(w)))) AS upto FROM begun),
+        near AS (SELECT * FROM runs WHERE list_has_any(b[s + 1:e - 1], common)),
+        units AS (SELECT k, template, license, tb, b, s, e FROM near
+                  UNION ALL SELECT k, template, license, tb, b, s, coalesce(starts[upto + 1], len(w)) FROM near
+                  UNION ALL SELECT k, template, license, tb, b, s, starts[upto] FROM near WHERE upto > l
+                  UNION ALL SELECT k, template, license, tb, b, 0, len(w) FROM pairs),
+        dice AS (SELECT k, template, license, 2 * len(list_intersect(list_distinct(b[s + 1:e - 1]), tb)) / (len(list_distinct(b[s + 1:e - 1])) + len(tb)) AS d FROM units),
+        best AS (SELECT k, template, license, max(d) AS d FROM dice GROUP BY k, template, license HAVING max(d) >= {licenses.THRESHOLD}),
         found AS (SELECT k, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS names, max(d) AS top FROM best GROUP BY k)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, CAST(top AS DOUBLE) AS best_score FROM docs LEFT JOIN found USING (k)""",
 }

@@ -326,26 +326,42 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
-def test_licenses(spark):
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
-    rows = [(1, "prose\nReleased under the MIT License.\nprose"), (2, mit), (3, mit.replace("software", "SOFTWARE,")), (4, None), (5, ""), (6, "word"), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (None, "Released under the MIT License."), (8, "la " * 50_000), (9, "the work")]
+def dice_brute(text, template):
+    """The best Dice of a text's units with a template, by the definition."""
+    cut = lambda t: re.findall("[a-z0-9]+", lower(t))
+    grams = lambda w: set(zip(w, w[1:]))
+    want, length = grams(cut(template)), len(cut(template))
+    lines = [w for w in map(cut, (text or "").split("\n")) if w]
+    units = [[w for line in lines for w in line]]
+    for k, line in enumerate(lines):
+        if grams(line) & want:
+            units.append(line)
+            run = []
+            for more in lines[k:]:
+                if len(run) >= length:
+                    break
+                before, run = run, run + more
+            units += [run, before]
+    return max((2 * len(grams(u) & want) / (len(grams(u)) + len(want)) for u in units), default=0)
 
-    def grams(t):
-        w = re.findall("[a-z0-9]+", lower(t))
-        return {(a, b) for a, b in zip(w, w[1:])}
 
+def test_licenses(spark):
+    whole = dict(licenses.TEMPLATES[len(licenses.NOTICES) :])
+    code = "".join(f"x{k} = f{k}(y{k})\n" for k in range(60))
+    comment = lambda t: "".join(f" * {line}\n" for line in t.split("\n"))
+    rows = [(1, "prose\nReleased under the MIT License.\nprose"), (2, whole["MIT"]), (3, whole["MIT"].replace("software", "SOFTWARE,")), (4, None), (5, ""), (6, "word"), (8, "la " * 50_000), (9, "the work")]
+    rows += [(7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.")] * 2 + [(None, "Released under the MIT License."), (10, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + whole["MIT"])]
+    rows += [(20 + k, code + "/*\n" + comment(t) + "*/\n" + code) for k, t in enumerate(whole.values())] + [(90, " ".join(whole["BSD-3-Clause"].split()[:60]))]
+    rows += [(91, code + "\n".join(t for n, t in licenses.NOTICES if n.startswith("GPL"))), (92, "\n".join(whole["ISC"].split()))]
     want = []
     for key, text in rows:
-        units = [] if text is None else text.split("\n") + ([text] if "\n" in text else [])
-        best = []
-        for u in units:
-            g = grams(u)
-            options = [(2 * len(g & t) / (len(g) + len(t)), -k, n) for k, (n, x) in enumerate(licenses.TEMPLATES) if g for t in [grams(x)]]
-            options = [o for o in options if o[0] >= 0.8]
-            if options:
-                best.append(max(options))
-        want.append((str(key), len(best), ",".join(sorted({b[2] for b in best})), max((round(b[0], 9) for b in best), default=None)))
-    got = [(str(r.id), r.n_matches, r.licenses, r.best_score and round(r.best_score, 9)) for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()]
+        found = [(dice_brute(text, t), n) for n, t in licenses.TEMPLATES]
+        found = [f for f in found if f[0] >= 0.8]
+        want.append((str(key), len(found), ",".join(sorted({n for _, n in found})), max((round(d, 9) for d, _ in found), default=None)))
+    named = dict((w[0], w[2]) for w in want)
+    assert named["2"] == named["10"] == "MIT" and all(n in named[str(20 + k)].split(",") for k, n in enumerate(whole))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("th", F.lit(1)).withColumn("template", F.lit("x"))
+    got = [(str(r.id), r.n_matches, r.licenses, r.best_score and round(r.best_score, 9)) for r in licenses.scan_licenses(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
