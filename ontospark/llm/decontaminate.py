@@ -78,7 +78,7 @@ def winnow(words: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray
 
 def _key(size: int, hashes: np.ndarray) -> np.ndarray:
     """Fingerprints of windows of different lengths don't meet."""
-    return mix(hashes + np.uint64(size) * ODD).view(np.int64)
+    return mix(hashes + np.uint64(size * int(ODD) % (1 << 64))).view(np.int64)
 
 
 def _text_keys(text_col: str) -> list[Column]:
