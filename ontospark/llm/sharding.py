@@ -1,15 +1,23 @@
 """Sharding by a k-d tree over the rows' metadata.
 
+Rows with equal texts are one unit and stay together, but for those groups that
+weigh more than ``GROUP_SHARE`` of a shard: they are divided by a hash of their
+ids into units of about that weight, since otherwise no shards of near equal
+bytes would be possible. A unit has the metadata of its smallest row.
+
 Each node is split along the metadata dimension in which it is widest, at the
-point that divides its bytes in the ratio of the shards on either side. Rows
-are ordered by that dimension and then by a hash of the row, so a value that
+point that divides its bytes in the ratio of the shards on either side. Units
+are ordered by that dimension and then by a hash of theirs, so a value that
 holds a third of all rows is divided like any other. The dividing point is
 found by histograms: one aggregation gives every open node 256 sums, the bin that holds the
 point becomes the next range, until the bin weighs next to nothing or holds a
-single place. What reaches the driver is one row per open node.
+single place. What reaches the driver is one row per open node; the units'
+nodes are written once per level.
 
-Null texts count as empty, null metadata as a value below all others. The law
-is ``bytes``: the shards' bytes are near equal, as far as single rows allow.
+A string's place in its dimension is its rank among the column's distinct
+values. Null texts count as empty, null metadata as a value just below all
+others. Ids may be of any type; repeated rows are rows like any other. The law
+is ``bytes``: the shards' bytes are near equal, as far as single units allow.
 """
 
 from __future__ import annotations
@@ -18,26 +26,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontospark.runtime import materialize
+from ontospark.operators.ordering import running_sum
+from ontospark.runtime import drop_materialized, materialize
 
 BINS = 256
 #: A bin under this share of its node's bytes is not divided further.
 TOLERANCE = 0.0005
+#: A group of equal texts beyond this share of a shard's bytes is divided.
+GROUP_SHARE = 0.01
 #: Rows per group within a shard in which positions are counted.
 SLOT_ROWS = 50_000
+#: Rows up to which a table of groups or of ranks goes to every task.
+BROADCAST_ROWS = 1 << 16
 
 
 def _coordinate(df: DataFrame, column: str) -> Column:
-    """A column as a number that keeps its order; of strings, that of their first six bytes."""
+    """A column as a number that keeps its order, or as a string that ``_ranked`` makes one of."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0")
-        number = F.conv(head, 16, 10).cast("double")
-    elif isinstance(kind, T.NumericType):
-        number = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
-    else:
-        number = F.col(column).cast("timestamp").cast("double")
-    return number
+        return F.col(column).cast("string")
+    if isinstance(kind, T.NumericType):
+        return F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
+    return F.col(column).cast("timestamp").cast("double")
+
+
+def _ranked(rows: DataFrame, dim: str) -> DataFrame:
+    """``rows`` with the strings of ``dim`` replaced by their rank."""
+    values = rows.where(F.col(dim).isNotNull()).select(F.col(dim).alias("value")).distinct()
+    ordered = values.orderBy("value").withColumn("place", F.monotonically_increasing_id())
+    ranks = materialize(running_sum(ordered, "place", {}, "rank").select("value", F.col("rank").cast("double")), "ranks")
+    ranks = F.broadcast(ranks) if ranks.count() <= BROADCAST_ROWS else ranks
+    return rows.join(ranks, rows[dim] == ranks["value"], "left").drop(dim, "value").withColumnRenamed("rank", dim)
 
 
 def _widest(rows: DataFrame, dims: list[str], spans: dict[str, float]) -> DataFrame:
@@ -87,11 +106,15 @@ def _medians(rows: DataFrame, dims: list[str], state: list[dict]) -> dict[int, t
 
 def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
     """``rows`` (with ``size``, the columns ``dims`` as numbers, and ``tie``) with ``shard``."""
+    spark = rows.sparkSession
     whole = rows.agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("a", F.min), ("b", F.max))]).first()
     spans = {d: (whole[f"b{d}"] or 0.0) - (whole[f"a{d}"] or 0.0) for d in dims}
+    # Nulls stand a hair below the least value, so that they don't make a dimension look wider than it is.
+    rows = rows.withColumns({d: F.coalesce(d, F.lit((whole[f"a{d}"] or 0.0) - (spans[d] or 1.0) / 1024)) for d in dims})
     split_type = "node long, s_dim int, s_value double, s_tie double, left long, right long"
     # Open nodes by number, with the shards that each covers.
-    open_, placed, count = {0: (0, shards)}, rows.withColumn("node", F.lit(0).cast("long")), 1
+    open_, count = {0: (0, shards)}, 1
+    placed = materialize(rows.withColumn("node", F.lit(0).cast("long")), "nodes")
     leaves: dict[int, int] = {}
     while open_:
         for node, (first, many) in list(open_.items()):
@@ -100,16 +123,14 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
                 del open_[node]
         if not open_:
             break
-        spark = rows.sparkSession
         todo = F.broadcast(spark.createDataFrame([(k,) for k in open_], "node long"))
         state = []
         for r in _widest(placed.join(todo, "node", "left_semi"), dims, spans).collect():
             first, many = open_[r["node"]]
             w = float(r["weight"])
             state.append({"node": r["node"], "dim": r["dim"], "pinned": False, "value": 0.0, "lo": r["lo"], "hi": r["hi"], "base": 0.0, "target": w * (many // 2) / many, "weight": w})
-        points = _medians(placed, dims, state)
         table, following = [], {}
-        for node, (dim, value, tie) in points.items():
+        for node, (dim, value, tie) in _medians(placed, dims, state).items():
             first, many = open_[node]
             table.append((node, dim, value, tie, count, count + 1))
             following |= {count: (first, many // 2), count + 1: (first + many // 2, many - many // 2)}
@@ -120,9 +141,10 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
         own = F.element_at(F.array(*dims), F.col("s_dim") + 1)
         goes_left = (own < F.col("s_value")) | ((own == F.col("s_value")) & (F.col("tie") < F.col("s_tie")))
         node = F.when(F.col("s_dim").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
-        placed = placed.join(splits, "node", "left").withColumn("node", node).drop("s_dim", "s_value", "s_tie", "left", "right")
+        before, placed = placed, materialize(placed.join(splits, "node", "left").withColumn("node", node).drop("s_dim", "s_value", "s_tie", "left", "right"), "nodes")
+        drop_materialized(before)
         open_ = following
-    names = F.broadcast(rows.sparkSession.createDataFrame(list(leaves.items()) or [(0, 0)], "node long, shard int"))
+    names = F.broadcast(spark.createDataFrame(list(leaves.items()) or [(0, 0)], "node long, shard int"))
     return placed.join(names, "node", "left").withColumn("shard", F.coalesce("shard", F.lit(0))).drop("node")
 
 
@@ -139,26 +161,40 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dims: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` per row of ``docs``.
+    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, group_divided)`` per row of ``docs``.
 
     ``size`` is the text's UTF-8 bytes plus one. ``shards`` shards, or as many
-    as ``target_bytes`` asks for. Without any of ``dims`` the hash alone decides.
+    as ``target_bytes`` asks for. Without any of ``dims`` the hash alone
+    decides. ``group_divided``: whether the rows with this text were too many
+    for one shard, and so may stand in several.
     """
     have = [d for d in dims if d in docs.columns]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    kept = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        *[F.coalesce(_coordinate(docs, d), F.lit(-1e300)).alias(f"d{k}") for k, d in enumerate(have)],
-    )
-    names = [f"d{k}" for k in range(len(have))]
-    if not names:
-        kept, names = kept.withColumn("d0", F.lit(0.0)), ["d0"]
-    kept = kept.withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(1 << 52)).cast("double"))
+    names = [f"d{k}" for k in range(len(have))] or ["d0"]
+    values = [_coordinate(docs, d).alias(n) for d, n in zip(have, names)] or [F.lit(0.0).alias("d0")]
+    kept = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("th"), *values)
     kept = materialize(kept, "metadata")
+    total = kept.agg(F.sum("size").alias("b")).first()["b"] or 0
     if shards is None:
-        total = kept.agg(F.sum("size").alias("b")).first()["b"] or 0
         shards = max(1, -(-total // (target_bytes or 1 << 30)))
-    placed = materialize(kd_shards(kept, names, shards).select("doc_id", "size", "text_crc32", "shard"), "shards")
-    return with_slots(placed, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    limit = max(1, int(total / shards * GROUP_SHARE))
+    key = ["text_crc32", "th", "size"]
+    groups = kept.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", *names)).alias("m"))
+    groups = materialize(groups.withColumn("pieces", F.when(F.col("n") > 1, F.least(F.col("n"), F.ceil(F.col("n") * F.col("size") / limit))).otherwise(F.lit(1)).cast("long")), "groups")
+    # Of divided groups there are no more than total bytes over limit, of two rows or more each.
+    large = F.broadcast(groups.where("pieces > 1").select(*key, "pieces"))
+    # Rows of a divided group that are equal in id as well are dealt by their place in the table.
+    piece = F.pmod(F.xxhash64("doc_id", "place"), F.col("pieces"))
+    rows = materialize(kept.select("doc_id", *key, F.monotonically_increasing_id().alias("place")).join(large, key, "left").withColumn("piece", F.coalesce(piece, F.lit(0).cast("long"))), "rows")
+    heavy = rows.where("pieces is not null").groupBy(*key, "piece").agg(F.count("*").alias("n"))
+    heavy = heavy.join(groups.select(*key, "m"), key).select(*key, "piece", "n", "m")
+    units = groups.where("pieces = 1").select(*key, F.lit(0).cast("long").alias("piece"), "n", "m").union(heavy)
+    units = units.select(F.col("size").alias("bytes"), "text_crc32", "th", "piece", (F.col("size") * F.col("n")).alias("size"), *[F.col(f"m.{n}").alias(n) for n in names])
+    for name, d in zip(names, have):
+        if isinstance(docs.schema[d].dataType, (T.StringType, T.BinaryType)):
+            units = _ranked(units, name)
+    units = units.withColumn("tie", F.pmod(F.xxhash64("th", "text_crc32", "bytes", "piece"), F.lit(1 << 52)).cast("double"))
+    placed = kd_shards(units, names, shards).select(F.col("bytes").alias("size"), "text_crc32", "th", "piece", "shard")
+    out = materialize(rows.join(placed, [*key, "piece"]).select("doc_id", "size", "text_crc32", "place", "shard", F.col("pieces").isNotNull().alias("group_divided")), "shards")
+    drop_materialized(kept, groups, rows)
+    return with_slots(out, ["doc_id", "text_crc32", "size", "place"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_divided")

@@ -425,21 +425,38 @@ def test_simhash_components_and_dedup(spark, docs):
 
 def test_sharding(spark):
     rng = random.Random(10)
-    rows = [(k, "x" * rng.randint(0, 40), rng.choice(["a", "a", "b", None]), None if k % 9 == 0 else "s%d" % (k % 3)) for k in range(900)]
-    rows += [(3, "same", "a", "s0")] * 300 + [(None, None, None, None)] * 5
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = [(k, "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 40))), rng.choice(["a", "a", "b", None]), None if k % 9 == 0 else "source-%d" % (k % 3)) for k in range(900)]
+    rows += [(3, "same", "a", "s0")] * 300 + [(None, None, None, None)] * 5 + [(k, "equal texts", "b", "s1") for k in range(5000, 5400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("th", F.lit("x")).withColumn("node", F.lit(1))
     for shards in (8, 5, 1):
         out = sharding.shard_documents(df, shards).collect()
-        assert len(out) == len(rows)
-        sizes, slots = [0] * shards, [[] for _ in range(shards)]
+        assert sorted(str((r.doc_id, r.size_)) for r in [type("R", (), {"doc_id": o.doc_id, "size_": o["size"]}) for o in out]) == sorted(str((k, len(t or "") + 1)) for k, t, _, _ in rows)
+        sizes, slots, where = [0] * shards, [[] for _ in range(shards)], {}
         for r in out:
             sizes[r.shard] += r["size"]
             slots[r.shard].append(r.slot)
+            where.setdefault((r.text_crc32, r["size"]), set()).add((r.shard, r.group_divided))
         assert all(sorted(s) == list(range(len(s))) for s in slots)
-        # Repeated rows can't be told apart, so they stay together.
-        assert max(sizes) - min(sizes) <= 300 * 5 + 45
-    unique = spark.createDataFrame(rows[:900], df.schema)
+        assert max(sizes) - min(sizes) <= 0.06 * sum(sizes) / shards + 60
+        # Groups stay whole unless they are heavy for a shard.
+        many = {}
+        for _, t, _, _ in rows:
+            many[t or ""] = many.get(t or "", 0) + len(t or "") + 1
+        limit = max(1, int(sum(sizes) / shards * sharding.GROUP_SHARE))
+        heavy = {t for t, b in many.items() if b > limit and b > len(t) + 1}
+        assert sum(len(s) > 1 for s in where.values()) <= len(heavy) and all(len(s) == 1 or all(divided for _, divided in s) for s in where.values())
+    unique = spark.createDataFrame([(k, t + str(k), a, b) for k, t, a, b in rows[:900]], "doc_id string, text string, lang string, source string")
     sizes = {r.shard: r.b for r in sharding.shard_documents(unique, 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 3 * 41
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 3 * 45
     assert sharding.shard_documents(df.limit(0), 8).count() == 0
-    assert {r.shard for r in sharding.shard_documents(unique, target_bytes=6000).collect()} == set(range(-(-sum(len(r[1]) + 1 for r in rows[:900]) // 6000)))
+    total = sum(len(t + str(k)) + 1 for k, t, _, _ in rows[:900])
+    assert {r.shard for r in sharding.shard_documents(unique, target_bytes=6000).collect()} == set(range(-(-total // 6000)))
+
+
+def test_sharding_splits_the_widest_dimension_despite_nulls(spark):
+    # One null must not hide that x is the widest dimension of the upper half, which has no null.
+    rows = [(k, "t%04d" % k, float(k), 1 - (1 - k / 2000) ** 2 + (k % 2) / 20) for k in range(2000)] + [(5000, "null", None, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x double, y double")
+    out = sharding.shard_documents(df, 4, dims=("x", "y")).collect()
+    ranges = sorted((min(v), max(v)) for v in [[r.doc_id for r in out if r.shard == s and r.doc_id < 2000] for s in range(4)])
+    assert ranges[3][0] > ranges[2][1] and ranges[2][0] > 900
