@@ -60,16 +60,16 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def _dealt(threshold: float, kind: pa.DataType):
-    """Rows for each block and each grid cell that a vector's ball touches; ``home`` in its own."""
+def _dealt(threshold: float):
+    """Rows, without the vectors, for each block and each grid cell that a vector's ball touches; ``home`` in its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                turned = _unit(_matrix(part.column(5), dim)) @ _rotation(dim)
-                grid = part.column(4).to_numpy()
+                turned = _unit(_matrix(part.column(4), dim)) @ _rotation(dim)
+                grid = part.column(3).to_numpy()
                 for j, block in enumerate(_blocks(dim)):
                     width = block.stop - block.start
                     radius = np.sqrt((2 - 2 * threshold + 1e-9) * width / dim)
@@ -88,8 +88,8 @@ def _dealt(threshold: float, kind: pa.DataType):
                             names = [",".join(map(str, c)) for c in cell[fit].tolist()]
                             sent = part.take(pa.array(rows[fit]))
                             yield pa.RecordBatch.from_arrays(
-                                [sent.column(1), sent.column(2), pa.array(np.full(len(names), j, np.int32)), pa.array(names, pa.string()), sent.column(0), pa.array(home), sent.column(3), sent.column(5).cast(kind)],
-                                names=["label", "dim", "block", "cell", "row", "home", "copies", "embedding"],
+                                [sent.column(1), sent.column(2), pa.array(np.full(len(names), j, np.int32)), pa.array(names, pa.string()), sent.column(0), pa.array(home)],
+                                names=["label", "dim", "block", "cell", "row", "home"],
                             )
 
     return run
@@ -149,7 +149,6 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     element = vectors.schema[vector_col].dataType.elementType
     element = element if isinstance(element, (T.FloatType, T.DoubleType)) else T.DoubleType()
-    kind = pa.list_(pa.float32() if isinstance(element, T.FloatType) else pa.float64())
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(T.ArrayType(element)).alias("embedding"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -158,13 +157,13 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(classes.withColumn("dim", F.size("embedding")), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     grid = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / tile) / F.log(F.lit(4.0)))).cast("int")
-    asked = classes.join(sizes.select("label", "dim", grid.alias("grid")), ["label", "dim"]).select(F.col("rep").alias("row"), "label", "dim", "copies", "grid", "embedding")
-    e = element.simpleString()
-    dealt = asked.mapInArrow(_dealt(threshold, kind), f"label string, dim int, block int, cell string, row long, home boolean, copies long, embedding array<{e}>")
+    asked = classes.join(sizes.select("label", "dim", grid.alias("grid")), ["label", "dim"]).select(F.col("rep").alias("row"), "label", "dim", "grid", "embedding")
+    # Cells are worked out once and written without the vectors, which join what is left of them.
+    dealt = materialize(asked.mapInArrow(_dealt(threshold), "label string, dim int, block int, cell string, row long, home boolean"), "cells")
     key = ["label", "dim", "block", "cell"]
     # A cell's size is counted before its vectors move.
     cells = dealt.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("asks")).where("n > 1 and asks").select(*key, F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = dealt.join(F.broadcast(cells) if cells.count() <= 1 << 16 else cells, key)
+    dealt = dealt.join(F.broadcast(cells) if cells.count() <= 1 << 16 else cells, key).join(classes.select(F.col("rep").alias("row"), "copies", "embedding"), "row")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     roles = F.when(F.col("tile") == F.col("other"), F.array(F.struct(F.col("tile").alias("i"), F.col("tile").alias("j"), F.lit(True).alias("asks"), F.lit(True).alias("answers"))))
