@@ -40,12 +40,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ontospark.llm.words import chunks, lean
-from ontospark.runtime import drop_materialized, materialize
+from ontospark.runtime import drop_materialized, materialize, path_exists, remove_path, scratch_path
 
 #: UTF-8 bytes of text per block, about; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Words that every task knows by number, at most, and the longest such word in characters: together they bound what is broadcast.
-FREQUENT, FREQUENT_CHARS = 1 << 17, 64
+FREQUENT, FREQUENT_CHARS = 1 << 18, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 1 << 20
 #: Words per batch that a task hands on or gathers.
@@ -298,13 +298,18 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         least = r["bin"]
     top = sorted(able.where(F.col("bin") >= least).select("word", "n", "ids").collect(), key=lambda r: (-r["n"], r["word"]))
     known = spark.sparkContext.broadcast(([r["word"] for r in top], [bytes(r["ids"]) for r in top]))
-    blocks = materialize(slim.mapInArrow(lean(_coded_blocks(tokenizer_path, known, block_bytes, id_type)), _CODED), "blocks")
-    rare = blocks.where("word is not null").select("block", "number", "word")
-    coded = materialize(rare.join(words.select("word", "ids"), "word").select("block", "number", "ids"), "coded")
+    blocks = slim.mapInArrow(lean(_coded_blocks(tokenizer_path, known, block_bytes, id_type)), _CODED)
+    # Texts and rare words in folders of their own, as the words aren't needed for as long.
+    path = scratch_path(spark, "blocks")
+    blocks.withColumn("kind", F.when(F.col("word").isNull(), "texts").otherwise("words")).write.mode("overwrite").partitionBy("kind").parquet(path)
+    both = spark.read.schema(blocks.schema).parquet
+    rare = both(f"{path}/kind=words") if path_exists(spark, f"{path}/kind=words") else blocks.limit(0)
+    coded = materialize(rare.select("block", "number", "word").join(words.select("word", "ids"), "word").select("block", "number", "ids"), "coded")
     drop_materialized(words)
+    remove_path(spark, f"{path}/kind=words")
+    texts = both(f"{path}/kind=texts").select("block", "docs") if path_exists(spark, f"{path}/kind=texts") else blocks.limit(0).select("block", "docs")
     text = [T.StructField("decoded", T.StringType())] if decoded else []
     out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), *text])
-    texts = blocks.where("docs is not null").select("block", "docs")
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(tokenizer_path, known, decoded, id_type), out)
 
 
