@@ -45,7 +45,7 @@ from ontospark.runtime import drop_materialized, materialize, path_exists, remov
 #: UTF-8 bytes of text per block, about; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Words that every task knows by number, at most, and the longest such word in characters: together they bound what is broadcast.
-FREQUENT, FREQUENT_CHARS = 1 << 18, 64
+FREQUENT, FREQUENT_CHARS = 3 << 16, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 1 << 20
 #: Words per batch that a task hands on or gathers.
@@ -194,7 +194,7 @@ def _coded_blocks(path: str, frequent, block_bytes: int, id_type: pa.DataType):
     """Rows ``(block, docs)`` with the packed word numbers of a block's texts, and rows ``(block, number, word)`` of its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = _splitter(path), {w: k for k, w in enumerate(frequent.value[0])}
+        split, known = _splitter(path), {w: k for k, w in enumerate(frequent.value[0].to_pylist())}
         block = TaskContext.get().partitionId() << 32
         schema = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
         codes, ids, coded, size = _Codes(known), [], [], 0
@@ -247,9 +247,8 @@ def _assemble(path: str, frequent, decoded: bool, id_type: pa.DataType):
     """One block's rows: the ids of each text's words, from the frequent words' and the block's own rare words' ids."""
 
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
-        order = np.argsort(coded.column("number").to_numpy())
-        rare = coded.column("ids").take(pa.array(order)).to_pylist() if len(order) else []
-        packed = [*frequent.value[1], *rare]
+        rare = coded.column("ids").take(pa.array(np.argsort(coded.column("number").to_numpy()))).to_pylist() if coded.num_rows else []
+        packed = [*frequent.value[1].to_pylist(), *rare]
         length = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         start, table = np.cumsum(length) - length, np.frombuffer(b"".join(packed), "<u4")
         parts, out, texts = [], [], []
@@ -296,8 +295,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         if left < 0:
             break
         least = r["bin"]
-    top = sorted(able.where(F.col("bin") >= least).select("word", "n", "ids").collect(), key=lambda r: (-r["n"], r["word"]))
-    known = spark.sparkContext.broadcast(([r["word"] for r in top], [bytes(r["ids"]) for r in top]))
+    top = able.where(F.col("bin") >= least).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    known = spark.sparkContext.broadcast((top.column("word").combine_chunks(), top.column("ids").combine_chunks()))
+    del top
     blocks = slim.mapInArrow(lean(_coded_blocks(tokenizer_path, known, block_bytes, id_type)), _CODED)
     # Texts and rare words in folders of their own, as the words aren't needed for as long.
     path = scratch_path(spark, "blocks")
