@@ -46,16 +46,16 @@ def strip_marks(text: Column) -> Column:
     return F.replace(bare, F.lit("\\"), F.lit(""))
 
 
-def is_a_sentence(text: Column) -> Column:
-    """``It is a X.`` with the article that X asks for, none before ``something``."""
-    article = F.when(text.startswith("something"), F.lit("")).when(F.lower(text).rlike("^[aeiou]"), F.lit("an ")).otherwise(F.lit("a "))
-    return F.concat(F.lit("It is "), article, text, F.lit("."))
+def is_a(text: Column, first: bool = True) -> Column:
+    """``It is a X`` (not ``first``: ``it is a X``) with the article that X asks for: ``an`` before a small vowel, none before ``something``."""
+    article = F.when(text.startswith("something"), F.lit("")).when(text.rlike("^[aeiou]"), F.lit("an ")).otherwise(F.lit("a "))
+    return F.concat(F.lit("It is " if first else "it is "), article, text)
 
 
-def as_clause(text: Column) -> Column:
-    """Without closing punctuation, the first letter in lower case."""
-    bare = F.regexp_replace(text, r"[.!?,;:]+$", "")
-    return F.concat(F.lower(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))
+def as_clause(text: Column, first: bool = False) -> Column:
+    """Without closing punctuation, the first letter in lower case (``first``: as it is)."""
+    bare = F.rtrim(text, F.lit(PUNCTUATION))
+    return bare if first else F.concat(F.lower(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))
 
 
 def strip_preposition(text: Column) -> Column:
@@ -64,9 +64,14 @@ def strip_preposition(text: Column) -> Column:
 
 
 def verb_phrase(text: Column) -> Column:
-    """``is`` before a property's label that begins like a participle; a rule in place of a tagger."""
-    return F.when(text.rlike(r"^[a-z]+ed\b"), F.concat(F.lit("is "), text)).otherwise(text)
+    """``is`` before a property's label that begins like a participle: a rule and its exceptions in place of a tagger."""
+    first = F.substring_index(text, " ", 1)
+    return F.when(first.rlike("^[a-z]+ed$") & ~first.isin(NO_PARTICIPLES), F.concat(F.lit("is "), text)).otherwise(text)
 
 
 #: English prepositions that may close a property's label.
-PREPOSITIONS = ["about", "above", "across", "after", "against", "along", "among", "around", "as", "at", "before", "behind", "below", "beside", "between", "by", "during", "for", "from", "in", "into", "of", "off", "on", "onto", "over", "since", "than", "through", "to", "under", "with", "without"]
+PREPOSITIONS = ["about", "above", "across", "after", "against", "along", "among", "around", "at", "before", "behind", "below", "beneath", "beside", "between", "by", "during", "for", "from", "in", "into", "like", "near", "of", "off", "on", "over", "through", "to", "under", "up", "with", "without"]
+#: Verbs in the present that end like a participle.
+NO_PARTICIPLES = ["bed", "bleed", "breed", "embed", "exceed", "feed", "heed", "need", "proceed", "seed", "shed", "shred", "speed", "succeed", "wed", "weed"]
+#: The ASCII punctuation that templates cut off.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -152,12 +152,45 @@ def negative_classes(pairs: DataFrame, classes: DataFrame, closed: DataFrame, n:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("sub", "sup", "negative", "place")
 
 
+def random_candidates(references: DataFrame, classes: DataFrame, n: int, seed: int = 0, closed: DataFrame | None = None) -> DataFrame:
+    """``(source, target, candidate, place)``: ``n`` classes for each reference that are none of its source's targets.
+
+    With ``closed`` the ancestors of those targets are left out as well. Each
+    reference probes the ring of all numbered classes from a place that its hash
+    gives, and takes the first that fit, so the work per reference is ``n`` plus
+    what is left out.
+    """
+    rows = materialize(numbered(classes.select("iri").distinct(), ["iri"]), "classes")
+    size = max(rows.count(), 1)
+    gold = references.select("source", "target").distinct()
+    out = gold.select("source", F.col("target").alias("candidate"))
+    if closed is not None:
+        out = out.union(gold.join(closed.select(F.col("descendant").alias("target"), "ancestor"), "target").select("source", "ancestor"))
+    out = materialize(out.distinct(), "left_out")
+    many = out.groupBy("source").agg(F.count("*").alias("left_out"))
+    start = F.pmod(F.xxhash64("source", "target", F.lit(seed)), F.lit(size))
+    steps = F.least(F.lit(size).cast("long"), F.col("left_out") + n)
+    probes = gold.join(many, "source").select("source", "target", start.alias("start"), F.posexplode(F.sequence(F.lit(1).cast("long"), steps)).alias("i", "_"))
+    found = probes.select("source", "target", "i", (F.pmod(F.col("start") + F.col("i"), F.lit(size)) + 1).alias("k")).join(rows.select("k", F.col("iri").alias("candidate")), "k")
+    order = Window.partitionBy("source", "target").orderBy("i")
+    kept = found.join(out, ["source", "candidate"], "left_anti").withColumn("place", F.row_number().over(order))
+    return kept.where(F.col("place") <= n).select("source", "target", "candidate", "place")
+
+
 def neighbour_candidates(references: DataFrame, edges: DataFrame, n: int, hops: int = 5) -> DataFrame:
-    """``(source, target, candidate, hop, place)``: the ``n`` nearest classes of a reference's target, nearer and then smaller first."""
+    """``(source, target, candidate, hop, place)``: the ``n`` nearest classes of a reference's target, nearer and then smaller first.
+
+    Classes are ranked once per target; a reference is joined with only as many
+    of them as it can need: ``n``, and one more for each target of its source.
+    """
     starts = references.select(F.col("target").alias("id")).distinct()
     near = neighbours(starts, edges, hops)
     gold = references.select("source", F.col("target").alias("candidate")).distinct()
-    found = references.select("source", "target").distinct().join(near, F.col("target") == F.col("start")).select("source", "target", F.col("id").alias("candidate"), "hop")
+    many = gold.groupBy("source").agg(F.count("*").alias("golds"))
+    asked = references.select("source", "target").distinct().join(many, "source")
+    most = asked.groupBy(F.col("target").alias("start")).agg((F.max("golds") + n).alias("most"))
+    ranked = near.join(most, "start").withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("hop", "id"))).where("rank <= most").drop("most")
+    found = asked.join(ranked, (F.col("target") == F.col("start")) & (F.col("rank") <= F.col("golds") + n)).select("source", "target", F.col("id").alias("candidate"), "hop")
     found = found.join(gold, ["source", "candidate"], "left_anti")
     order = Window.partitionBy("source", "target").orderBy("hop", "candidate")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

@@ -72,7 +72,7 @@ def reduction(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 
 
 def depths(edges: DataFrame, root: str = ROOT, most: int = 1000) -> DataFrame:
-    """``(id, shortest, longest)``: edges on the shortest and longest path from ``root``.
+    """``(id, shortest, longest, longest_nodes)``: edges on the shortest and longest path from ``root``, and nodes on the longest.
 
     A graph that still has nodes after ``most`` rounds holds a cycle.
     """
@@ -90,7 +90,7 @@ def depths(edges: DataFrame, root: str = ROOT, most: int = 1000) -> DataFrame:
         if k > most:
             raise RuntimeError("the graph has a cycle")
         levels.append(level)
-    return _union(levels).groupBy("id").agg(F.min("level").alias("shortest"), F.max("level").alias("longest"))
+    return _union(levels).groupBy("id").agg(F.min("level").alias("shortest"), F.max("level").alias("longest"), (F.max("level") + 1).alias("longest_nodes"))
 
 
 def lowest_common_ancestors(pairs: DataFrame, edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
@@ -148,6 +148,16 @@ def prune(edges: DataFrame, removed: DataFrame) -> DataFrame:
             return _union(found).distinct()
 
 
+def sibling_pairs(edges: DataFrame) -> DataFrame:
+    """``(a, b, shared)``: nodes with a parent in common, in both orders, and how many parents they share.
+
+    The result holds every pair of a parent's children: for parents of bounded degree.
+    """
+    edges = edge_table(edges)
+    pairs = edges.select("parent", F.col("child").alias("a")).join(edges.select("parent", F.col("child").alias("b")), "parent")
+    return pairs.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def neighbours(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """``(start, id, hop)``: nodes within ``hops`` edges in either direction, at their fewest hops."""
     edges = edge_table(edges)

@@ -34,6 +34,25 @@ def edit_scores(pairs: DataFrame, source: DataFrame, target: DataFrame, digits:
     return best.select(*PAIR, F.round(F.coalesce("best", F.lit(0.0)), digits).alias("score"))
 
 
+def mean_scores(pairs: DataFrame, source: DataFrame, target: DataFrame, scorer=edit_similarity, digits: int = 6) -> DataFrame:
+    """``(source, target, score)`` of candidate pairs: the mean of ``scorer`` over all pairs of their literals, 0 without any.
+
+    ``scorer(a, b)`` is a column: a built-in similarity, or a pandas UDF around a model of synonyms.
+    """
+    s = source.select(F.col("iri").alias("source"), F.col("literal").alias("a"))
+    t = target.select(F.col("iri").alias("target"), F.col("literal").alias("b"))
+    scored = pairs.select(*PAIR).distinct().join(s, "source", "left").join(t, "target", "left")
+    mean = scored.groupBy(*PAIR).agg(F.avg(scorer(F.col("a"), F.col("b"))).alias("mean"))
+    return mean.select(*PAIR, F.round(F.coalesce("mean", F.lit(0.0)), digits).alias("score"))
+
+
+def model_scores(pairs: DataFrame, source: DataFrame, target: DataFrame, scorer, digits: int = 6) -> DataFrame:
+    """``(source, target, score)``: 1 for pairs that share a literal, the mean synonym score of the others."""
+    exact = string_match(source, target).join(pairs.select(*PAIR).distinct(), PAIR, "left_semi")
+    rest = pairs.select(*PAIR).distinct().join(exact.select(*PAIR), PAIR, "left_anti")
+    return exact.unionByName(mean_scores(rest, source, target, scorer, digits))
+
+
 def drop_ignored(mappings: DataFrame, ignored_source: DataFrame, ignored_target: DataFrame) -> DataFrame:
     """Mappings neither of whose ends is among the ids ``iri``."""
     out = mappings.join(ignored_source.select(F.col("iri").alias("source")), "source", "left_anti")

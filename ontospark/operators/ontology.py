@@ -9,9 +9,9 @@ ones need no recursive type. A table never changes: a mutation gives a new one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontospark.runtime import materialize
@@ -30,6 +30,13 @@ ASSERTION = {"Classes": "ClassAssertion", "ObjectProperties": "ObjectPropertyAss
 NOT_EL = ["UnionOf", "MinCardinality", "MaxCardinality", "ExactCardinality", "ComplementOf", "AllValuesFrom", "Annotation", "ObjectHasSelf", "urn:swrl", "EquivalentObjectProperties", "SymmetricObjectProperty", "AsymmetricObjectProperty", "ObjectOneOf"]
 
 
+def entity_summary(entities: DataFrame) -> DataFrame:
+    """``(entity_type, n)``: how many entities there are of each kind, those of no row included."""
+    kinds = entities.sparkSession.createDataFrame([(k,) for k in KINDS], "entity_type string")
+    found = entities.select("iri", "entity_type").distinct().groupBy("entity_type").agg(F.count("*").alias("n"))
+    return kinds.join(found, "entity_type", "left").select("entity_type", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 @dataclass(frozen=True)
 class Ontology:
     entities: DataFrame
@@ -108,9 +115,24 @@ class Ontology:
         return replace(self, axioms=self.axioms.join(ids.select("axiom_id"), "axiom_id", "left_anti"))
 
     def replace_entity(self, iri: str, by: str) -> Ontology:
-        """Every use of ``iri`` in an expression becomes ``by``."""
-        swap = lambda c: F.when(F.col(c) == iri, F.lit(by)).otherwise(F.col(c)).alias(c)
-        return replace(self, exprs=self.exprs.select(*[swap(c) if c in ("iri", "prop") else F.col(c) for c in self.exprs.columns]))
+        """Every use of ``iri`` becomes ``by``: as an entity, in expressions and their ids, in axioms, their ids and texts, and in annotations and assertions.
+
+        An ontology is a value, so the one before remains: keeping it is the undo of this and of every other change.
+        """
+
+        def swapped(df: DataFrame) -> DataFrame:
+            def new(field) -> Column:
+                kind, c = field.dataType.simpleString(), F.col(field.name)
+                if kind == "string":
+                    within = F.replace(c, F.lit(f"<{iri}>"), F.lit(f"<{by}>"))
+                    return F.when(c == iri, F.lit(by)).otherwise(within).alias(field.name)
+                if kind == "array<string>":
+                    return F.transform(c, lambda x: F.when(x == iri, F.lit(by)).otherwise(F.replace(x, F.lit(f"<{iri}>"), F.lit(f"<{by}>")))).alias(field.name)
+                return c
+
+            return df.select(*map(new, df.schema.fields))
+
+        return replace(self, **{f.name: swapped(getattr(self, f.name)) for f in fields(self)})
 
     def prune(self, removed: DataFrame) -> Ontology:
         """Without the classes ``iri``: their children get their parents, and axioms that mention them go."""

@@ -47,6 +47,20 @@ def instances(assertions: DataFrame, closed: DataFrame) -> DataFrame:
     return own.union(up).distinct()
 
 
+def direct_instances(assertions: DataFrame, closed: DataFrame) -> DataFrame:
+    """``(individual, cls)``: of an individual's asserted classes those with no other of them below."""
+    own = assertions.select("individual", "cls").distinct()
+    below = closed.where("ancestor <> descendant").select(F.col("ancestor").alias("cls"), F.col("descendant").alias("lower"))
+    covered = own.join(below, "cls").join(own.select("individual", F.col("cls").alias("lower")), ["individual", "lower"], "left_semi")
+    return own.join(covered.select("individual", "cls"), ["individual", "cls"], "left_anti")
+
+
+def check_instances(pairs: DataFrame, typed: DataFrame) -> DataFrame:
+    """``(individual, cls, holds)``: whether an individual is in a class; ``typed`` is what ``instances`` gives."""
+    known = typed.select("individual", "cls").distinct().withColumn("k", F.lit(True))
+    return pairs.select("individual", "cls").join(known, ["individual", "cls"], "left").select("individual", "cls", F.col("k").isNotNull().alias("holds"))
+
+
 def common_instances(pairs: DataFrame, typed: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` that share an individual; ``typed`` is what ``instances`` gives."""
     p = pairs.select("a", "b").distinct()

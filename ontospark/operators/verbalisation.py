@@ -14,12 +14,15 @@ from ontospark.functions.text import strip_preposition, verb_phrase
 from ontospark.runtime import materialize
 
 #: Operator names of functional syntax and the five characters that stand for each.
-SHORT = {
+FIXED = {
     "ObjectComplementOf": "[NEG]", "ObjectSomeValuesFrom": "[EX.]", "ObjectAllValuesFrom": "[ALL]", "ObjectUnionOf": "[OR.]", "ObjectIntersectionOf": "[AND]",
-    "EquivalentClasses": "[EQV]", "SubClassOf": "[SUB]", "SuperClassOf": "[SUP]", "ObjectPropertyChain": "[OPC]", "SubObjectPropertyOf": "[SUBP]",
-    "ClassAssertion": "[CLA]", "ObjectPropertyAssertion": "[OPA]", "ObjectPropertyDomain": "[OPD]", "ObjectPropertyRange": "[OPR]", "DisjointClasses": "[DIS]",
-    "ObjectHasValue": "[HAS]", "ObjectMinCardinality": "[MIN]", "ObjectMaxCardinality": "[MAX]", "ObjectExactCardinality": "[EXA]",
+    "ObjectPropertyChain": "[OPC]", "EquivalentClasses": "[EQV]", "SubClassOf": "[SUB]", "SuperClassOf": "[SUP]", "ClassAssertion": "[CLA]",
+    "SubObjectPropertyOf": "[SUB]", "SuperObjectPropertyOf": "[SUP]", "ObjectPropertyAssertion": "[OPA]", "ObjectPropertyDomain": "[OPD]",
+    "DataPropertyDomain": "[DPD]", "AnnotationPropertyDomain": "[APD]", "ObjectPropertyRange": "[OPR]", "DataPropertyRange": "[DPR]", "AnnotationPropertyRange": "[APR]",
 }
+#: Names beyond those, of our own.
+OWN = {"DisjointClasses": "[DIS]", "ObjectHasValue": "[HAS]", "ObjectMinCardinality": "[MIN]", "ObjectMaxCardinality": "[MAX]", "ObjectExactCardinality": "[EXA]"}
+SHORT = FIXED | OWN
 _NAMES = re.compile("|".join(sorted(SHORT, key=len, reverse=True)))
 _TAG = re.compile(r"\[[A-Z.]{3,4}\]$")
 
@@ -165,6 +168,31 @@ def verbalise_axioms(axioms: DataFrame, texts: DataFrame) -> DataFrame:
     return axioms.select("axiom_id", "axiom_type", "sub_expr", "sup_expr").join(side("sub_expr", "left"), "sub_expr").join(side("sup_expr", "right"), "sup_expr").select("axiom_id", "axiom_type", "left", "right")
 
 
+def verbalise_equivalences(axioms: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(axiom_id, left, right)``: the first two operands of class equivalences in words."""
+    side = lambda c, n: texts.select(F.col("expr_id").alias(c), F.col("text").alias(n))
+    ends = axioms.where((F.col("axiom_type") == "EquivalentClasses") & (F.size("operands") > 1)).select("axiom_id", F.get("operands", F.lit(0)).alias("a"), F.get("operands", F.lit(1)).alias("b"))
+    return ends.join(side("a", "left"), "a").join(side("b", "right"), "b").select("axiom_id", "left", "right")
+
+
+def verbalise_class_assertions(assertions: DataFrame, texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(cls, individual, class_text, individual_text)`` for ``(individual, cls)``; a name that isn't known is the iri itself."""
+    named = vocab.select(F.col("iri").alias("individual"), F.col("name").alias("i"))
+    known = texts.select(F.col("expr_id").alias("cls"), F.col("text").alias("c"))
+    both = assertions.select("individual", "cls").distinct().join(named, "individual", "left").join(known, "cls", "left")
+    return both.select("cls", "individual", F.coalesce("c", F.col("cls").cast("string")).alias("class_text"), F.coalesce("i", "individual").alias("individual_text"))
+
+
+def verbalise_property_assertions(facts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(subject, predicate, object, text)`` for facts of that shape: both ends' names around the property's phrase."""
+    name = lambda c: vocab.select(F.col("iri").alias(c), F.col("name").alias(f"{c}_name"))
+    out = facts.select("subject", "predicate", "object").distinct()
+    for c in ("subject", "predicate", "object"):
+        out = out.join(name(c), c, "left")
+    s, p, o = (F.coalesce(f"{c}_name", c) for c in ("subject", "predicate", "object"))
+    return out.select("subject", "predicate", "object", F.concat(s, F.lit(" "), verb_phrase(p), F.lit(" "), o).alias("text"))
+
+
 def chain_text(names):
     """A property chain: ``r something that s``."""
     return F.array_join(F.transform(names, lambda n: verb_phrase(n)), " something that ")

@@ -18,7 +18,7 @@ from ontospark.operators import projection as pj
 from ontospark.operators import reasoning as re_
 from ontospark.operators import scoring as sc
 from ontospark.operators import verbalisation as vb
-from ontospark.operators.ontology import Ontology
+from ontospark.operators.ontology import Ontology, entity_summary
 from ontospark.runtime import connected_components, materialize
 from ontospark.sources import adapters as ad
 from ontospark.sources.adapters import Tables
@@ -87,12 +87,12 @@ def _ignored(t: Tables) -> DataFrame:
 
 @query("""SELECT 'Classes' AS entity_type, CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM part) AS BIGINT) AS n
     UNION ALL SELECT 'Individuals', CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT)
-    UNION ALL SELECT 'ObjectProperties', CAST(2 AS BIGINT)""")
+    UNION ALL SELECT 'ObjectProperties', CAST(2 AS BIGINT) UNION ALL SELECT 'DataProperties', CAST(0 AS BIGINT) UNION ALL SELECT 'AnnotationProperties', CAST(0 AS BIGINT)""")
 def entity_counts(t: Tables) -> DataFrame:
-    kind = lambda df, k: df.select(F.lit(k).alias("entity_type"))
-    rows = kind(t.region, "Classes").union(kind(t.nation, "Classes")).union(kind(t.part, "Classes")).union(kind(t.customer, "Individuals")).union(kind(t.supplier, "Individuals"))
-    rows = rows.union(t.spark.createDataFrame([("ObjectProperties",)] * 2, "entity_type string"))
-    return rows.groupBy("entity_type").agg(F.count("*").alias("n"))
+    kind = lambda df, prefix, key, k: df.select(ad.tagged(prefix, key).alias("iri"), F.lit(k).alias("entity_type"))
+    rows = kind(t.region, "region", "r_regionkey", "Classes").union(kind(t.nation, "nation", "n_nationkey", "Classes")).union(kind(t.part, "part", "p_partkey", "Classes"))
+    rows = rows.union(kind(t.customer, "customer", "c_custkey", "Individuals")).union(kind(t.supplier, "supplier", "s_suppkey", "Individuals"))
+    return entity_summary(rows.union(t.spark.createDataFrame([("contains", "ObjectProperties"), ("suppliedBy", "ObjectProperties")], "iri string, entity_type string")))
 
 
 @query(f"WITH {DL} SELECT iri, literal FROM dl")
@@ -105,9 +105,10 @@ def annotation_stats(t: Tables) -> DataFrame:
     return an.mean_literals(an.annotation_index(t.documents.select(F.col("doc_id").alias("iri")), _docs(t)))
 
 
-@query("SELECT conv_id AS iri, role AS property_iri, text AS literal, CAST(turn AS BIGINT) AS turn FROM conversations WHERE role = 'user' AND text <> ''")
+@query("SELECT DISTINCT conv_id AS iri, lower(replace(text, '_', ' ')) AS literal FROM conversations WHERE role = 'user' AND text <> ''")
 def annotations_by_property(t: Tables) -> DataFrame:
-    return t.conversations.where("role = 'user' and text <> ''").select(F.col("conv_id").alias("iri"), F.col("role").alias("property_iri"), F.col("text").alias("literal"), "turn")
+    annotations = t.conversations.select(F.col("conv_id").alias("iri"), F.col("role").alias("property_iri"), F.col("text").alias("literal"))
+    return an.annotation_literals(annotations, ["user"])
 
 
 @query(f"WITH {BL} SELECT iri, token, count(*) AS tf FROM (SELECT iri, unnest(string_split(literal, ' ')) AS token FROM bl) WHERE token <> '' GROUP BY ALL")
@@ -298,7 +299,7 @@ def descendant_graph(t: Tables) -> DataFrame:
     return gr.descendant_graph(ad.part_edges(t), "type:SMALL")
 
 
-@query(f"""WITH RECURSIVE {PART}, lev(id, k) AS (SELECT 'root', 0 UNION SELECT child, k + 1 FROM lev JOIN edges ON id = parent) SELECT id, CAST(min(k) AS INTEGER) AS shortest, CAST(max(k) AS INTEGER) AS longest FROM lev GROUP BY id""")
+@query(f"""WITH RECURSIVE {PART}, lev(id, k) AS (SELECT 'root', 0 UNION SELECT child, k + 1 FROM lev JOIN edges ON id = parent) SELECT id, CAST(min(k) AS INTEGER) AS shortest, CAST(max(k) AS INTEGER) AS longest, CAST(max(k) + 1 AS INTEGER) AS longest_nodes FROM lev GROUP BY id""")
 def depths(t: Tables) -> DataFrame:
     return gr.depths(ad.part_edges(t))
 
@@ -331,10 +332,9 @@ def sibling_groups(t: Tables) -> DataFrame:
     return gr.sibling_groups(ad.part_edges(t))
 
 
-@query("""SELECT 'brand:' || a.p_brand AS a, 'brand:' || b.p_brand AS b, CAST(count(*) AS BIGINT) AS shared_types FROM (SELECT DISTINCT p_brand, p_type FROM part) a JOIN (SELECT DISTINCT p_brand, p_type FROM part) b USING (p_type) WHERE a.p_brand <> b.p_brand GROUP BY ALL""")
+@query("""SELECT 'brand:' || a.p_brand AS a, 'brand:' || b.p_brand AS b, CAST(count(*) AS BIGINT) AS shared FROM (SELECT DISTINCT p_brand, p_type FROM part) a JOIN (SELECT DISTINCT p_brand, p_type FROM part) b USING (p_type) WHERE a.p_brand <> b.p_brand GROUP BY ALL""")
 def sibling_pairs(t: Tables) -> DataFrame:
-    k = t.part.select(ad.tagged("brand", "p_brand").alias("id"), "p_type").distinct()
-    return k.select(F.col("id").alias("a"), "p_type").join(k.select(F.col("id").alias("b"), "p_type"), "p_type").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared_types"))
+    return gr.sibling_pairs(t.part.select(ad.tagged("type", "p_type").alias("parent"), ad.tagged("brand", "p_brand").alias("child")))
 
 
 @query(f"""WITH {PART} SELECT parent, child FROM edges WHERE NOT starts_with(parent, 'tb:') AND NOT starts_with(child, 'tb:')
@@ -400,17 +400,9 @@ def walks_biased(t: Tables) -> DataFrame:
     return gr.biased_walks(both, 1, 3, p=0.5, q=2.0, seed=3)
 
 
-@query("""WITH RECURSIVE g AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 7),
-    e AS (SELECT 'p' || p AS a, 's' || s AS b FROM g UNION SELECT 's' || s, 'p' || p FROM g), r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-    SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
-def connected_synonyms(t: Tables) -> DataFrame:
-    g = t.lineitem.where("l_linenumber = 7").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
-    return connected_components(g, "a", "b")
-
-
 @query()
-def connected_synonyms_whole(t: Tables) -> DataFrame:
-    """``connected_synonyms`` over every part and supplier of lineitem; its closure of pairs is too large for SQL."""
+def connected_synonyms(t: Tables) -> DataFrame:
+    """Over every part and supplier of lineitem; the closure of pairs that SQL would need is too large."""
     g = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
     return connected_components(g, "a", "b")
 
@@ -472,15 +464,14 @@ def hashed_split(t: Tables) -> DataFrame:
     return co.split(t.customer.select("c_custkey"), ["c_custkey"], {"valid": 0.05, "test": 0.1, "train": 0.85}, 1)
 
 
-@query(f"""WITH {GEO}, cls AS (SELECT iri, row_number() OVER (ORDER BY iri) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT child AS iri FROM edges WHERE NOT starts_with(child, 'customer') AND NOT starts_with(child, 'supplier'))),
-    pos AS (SELECT child AS sub, parent AS sup FROM edges WHERE starts_with(child, 'nation:')),
-    probe AS (SELECT sub, sup, c.iri AS negative, (c.k - s.k + s.n - 1) % s.n AS i FROM pos JOIN cls s ON s.iri = sub JOIN cls c ON c.iri <> sub AND c.iri <> sup),
+@query(f"""WITH RECURSIVE {GEO}, {CLOS}, cls AS (SELECT iri, row_number() OVER (ORDER BY iri) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT child AS iri FROM edges)),
+    pos AS (SELECT child AS sub, parent AS sup FROM edges WHERE parent <> 'root'),
+    probe AS (SELECT sub, sup, c.iri AS negative, (c.k - s.k + s.n - 1) % s.n AS i FROM pos JOIN cls s ON s.iri = sub JOIN cls c ON c.iri <> sub AND (c.k - s.k + s.n - 1) % s.n < 12 WHERE NOT EXISTS (SELECT 1 FROM clos WHERE clos.d = sub AND clos.a = c.iri)),
     placed AS (SELECT *, row_number() OVER (PARTITION BY sub, sup ORDER BY i) AS place FROM probe) SELECT sub, sup, negative, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5""")
 def negative_named(t: Tables) -> DataFrame:
-    edges = ad.geo_edges(t).where("child not like 'customer%' and child not like 'supplier%'")
-    classes = edges.select(F.col("child").alias("iri"))
-    positives = edges.where("child like 'nation:%'").select(F.col("child").alias("sub"), F.col("parent").alias("sup"))
-    return co.negative_classes(positives, classes, gr.closure(edges), 5)
+    edges = ad.geo_edges(t)
+    positives = edges.where("parent <> 'root'").select(F.col("child").alias("sub"), F.col("parent").alias("sup"))
+    return co.negative_classes(positives, edges.select(F.col("child").alias("iri")), gr.closure(edges), 5)
 
 
 @query(f"""WITH {GEO}, near_ AS (SELECT parent AS x, child AS y FROM edges UNION SELECT child, parent FROM edges), ref AS (SELECT 'customer:' || c_custkey AS source, 'nation:' || c_nationkey AS target FROM customer),
@@ -556,10 +547,44 @@ def assumed_disjoint_alt(t: Tables) -> DataFrame:
     return re_.assumed_disjoint(kinds.toDF("a", "b").union(siblings), gr.closure(ad.part_edges(t)))
 
 
-@query("""SELECT DISTINCT 'order:' || a.l_orderkey AS x, a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey""")
+@query("""WITH typed AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT DISTINCT x.p AS a, y.p AS b FROM typed x JOIN typed y USING (o) WHERE y.p BETWEEN x.p + 1 AND x.p + 7""")
 def common_instances(t: Tables) -> DataFrame:
-    typed = t.lineitem.select(F.concat(F.lit("order:"), "l_orderkey").alias("x"), "l_partkey").distinct()
-    return typed.select("x", F.col("l_partkey").alias("a")).join(typed.select("x", F.col("l_partkey").alias("b")), "x").where("a < b")
+    pairs = t.part.select(F.col("p_partkey").alias("a"), F.explode(F.sequence(F.col("p_partkey") + 1, F.col("p_partkey") + 7)).alias("b"))
+    return re_.common_instances(pairs, t.lineitem.select(F.col("l_orderkey").alias("individual"), F.col("l_partkey").alias("cls")).distinct())
+
+
+@query("""WITH own AS (SELECT DISTINCT o_custkey AS c, 'order:' || o_orderkey AS o FROM orders) SELECT 'customer:' || c_custkey AS individual, 'nation:' || n_nationkey AS cls, c_nationkey = n_nationkey AS holds FROM customer JOIN nation ON n_nationkey IN (c_nationkey, (c_custkey % 25))""")
+def check_instance(t: Tables) -> DataFrame:
+    own, other = ad.tagged("nation", "c_nationkey"), F.concat(F.lit("nation:"), (F.col("c_custkey") % 25).cast("string"))
+    pairs = t.customer.select(ad.tagged("customer", "c_custkey").alias("individual"), F.explode(F.array_distinct(F.array(own, other))).alias("cls"))
+    return re_.check_instances(pairs, re_.instances(ad.customer_types(t), gr.closure(ad.geo_edges(t))))
+
+
+@query("""SELECT 'customer:' || c_custkey AS individual, 'nation:' || c_nationkey AS cls FROM customer""")
+def direct_instances(t: Tables) -> DataFrame:
+    closed = gr.closure(ad.geo_edges(t))
+    return re_.direct_instances(re_.instances(ad.customer_types(t), closed), closed)
+
+
+@query("""WITH l AS (SELECT p_partkey AS iri, p_name AS literal FROM part UNION SELECT p_partkey, p_type FROM part)
+    SELECT a.iri AS source, b.iri AS target, round(avg(1 - levenshtein(a.literal, b.literal) / greatest(length(a.literal), length(b.literal))), 6) AS score FROM l a JOIN l b ON b.iri = a.iri + 1 GROUP BY ALL""")
+def mean_edit_score(t: Tables) -> DataFrame:
+    names = t.part.select(F.col("p_partkey").alias("iri"), F.explode(F.array_distinct(F.array("p_name", "p_type"))).alias("literal"))
+    pairs = t.part.select((F.col("p_partkey") - 1).alias("source"), F.col("p_partkey").alias("target")).where("source >= 0")
+    return ma.mean_scores(pairs, names, names)
+
+
+@query()
+def random_candidates(t: Tables) -> DataFrame:
+    gold = materialize(_gold(t).select("source", "target"), "gold")
+    return co.random_candidates(gold, t.benchmark.select(F.col("item_id").alias("iri")), 8, 3)
+
+
+@query("""SELECT 'order:' || o_orderkey AS subject, 'placedBy' AS predicate, 'customer:' || o_custkey AS object, 'order:' || o_orderkey || ' is placed by ' || coalesce(c_name, 'customer:' || o_custkey) AS text FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def verbalise_facts(t: Tables) -> DataFrame:
+    facts = t.orders.select(ad.tagged("order", "o_orderkey").alias("subject"), F.lit("placedBy").alias("predicate"), ad.tagged("customer", "o_custkey").alias("object"))
+    names = t.customer.select(ad.tagged("customer", "c_custkey").alias("iri"), F.col("c_name").alias("name")).union(t.spark.createDataFrame([("placedBy", "placed by")], "iri string, name string"))
+    return vb.verbalise_property_assertions(facts, names)
 
 
 @query(f"""WITH RECURSIVE {GEO}, {CLOS} SELECT 'customer:' || c_custkey AS a, 'region:' || r_regionkey AS b, EXISTS (SELECT 1 FROM clos WHERE clos.d = 'customer:' || c_custkey AND clos.a = 'region:' || r_regionkey) AS holds FROM customer JOIN region ON r_regionkey = c_nationkey % 5""")
@@ -672,9 +697,9 @@ def parse_axioms(t: Tables) -> DataFrame:
     return vb.parse_expressions(t.part.select("p_partkey", text.alias("axiom")), "p_partkey", "axiom")
 
 
-@query("SELECT p_partkey, 'It is ' || CASE WHEN regexp_matches(lower(p_name), '^[aeiou]') THEN 'an ' ELSE 'a ' END || p_name || '.' AS sentence, lower(substr(p_type, 1, 1)) || substr(p_type, 2) AS clause FROM part")
+@query("""SELECT p_partkey, 'It is ' || CASE WHEN starts_with(p_name, 'something') THEN '' WHEN regexp_matches(p_name, '^[aeiou]') THEN 'an ' ELSE 'a ' END || p_name AS sentence, lower(substr(p_type, 1, 1)) || substr(p_type, 2) AS clause FROM part""")
 def article_templates(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", tx.is_a_sentence(F.col("p_name")).alias("sentence"), tx.as_clause(F.concat("p_type", F.lit("."))).alias("clause"))
+    return t.part.select("p_partkey", tx.is_a(F.col("p_name")).alias("sentence"), tx.as_clause(F.concat("p_type", F.lit(".)"))).alias("clause"))
 
 
 @query("SELECT p_partkey, upper(p_type[1]) || lower(p_type[2:]) || ' ' || upper(p_name[1]) || substr(string_split(p_name, ' ')[1], 2) || ' ' || upper(string_split(p_name, ' ')[2][1]) || substr(string_split(p_name, ' ')[2], 2) AS words FROM part")

@@ -51,7 +51,7 @@ def test_closure_ends_on_cycles_and_empty_tables(spark):
 
 def test_depths(spark):
     e = edges_of(spark, [("root", "a"), ("root", "b"), ("a", "b"), ("b", "c"), ("root", "c")])
-    assert {r.id: (r.shortest, r.longest) for r in gr.depths(e).collect()} == {"root": (0, 0), "a": (1, 1), "b": (1, 2), "c": (1, 3)}
+    assert {r.id: (r.shortest, r.longest, r.longest_nodes) for r in gr.depths(e).collect()} == {"root": (0, 0, 1), "a": (1, 1, 2), "b": (1, 2, 3), "c": (1, 3, 4)}
     with pytest.raises(RuntimeError):
         gr.depths(e, "nowhere")
 

@@ -11,6 +11,7 @@ from ontospark.operators import evaluation as ev
 from ontospark.operators import matching as ma
 from ontospark.operators import reasoning as re_
 from ontospark.operators import verbalisation as vb
+from ontospark.operators.ontology import Ontology
 from ontospark.sources import owl
 from ontospark.sources import tables as tb
 
@@ -29,10 +30,11 @@ def test_text_functions(spark):
     assert one(spark, tx.edit_similarity(F.lit(""), F.lit(""))) == 1.0
     assert one(spark, tx.edit_similarity(F.lit("abcd"), F.lit("abce"))) == 0.75
     assert one(spark, tx.strip_marks(F.lit("<http://x>"))) == "http://x"
-    assert one(spark, tx.is_a_sentence(F.lit("apple"))) == "It is an apple."
-    assert one(spark, tx.is_a_sentence(F.lit("something that eats"))) == "It is something that eats."
-    assert one(spark, tx.strip_preposition(F.lit("part of"))) == "part"
-    assert one(spark, tx.as_clause(F.lit("It is.")).alias("c")) == "it is"
+    assert one(spark, tx.is_a(F.lit("apple"))) == "It is an apple" and one(spark, tx.is_a(F.lit("Apple"), first=False)) == "it is a Apple"
+    assert one(spark, tx.is_a(F.lit("something that eats"))) == "It is something that eats"
+    assert [one(spark, tx.strip_preposition(F.lit(w))) for w in ("part of", "looks like", "known as", "up")] == ["part", "looks", "known as", "up"]
+    assert one(spark, tx.as_clause(F.lit("It is.")).alias("c")) == "it is" and one(spark, tx.as_clause(F.lit("A (b)]~'"), first=True)) == "A (b"
+    assert [one(spark, tx.verb_phrase(F.lit(w))) for w in ("located in", "need", "feeds on", "feed on")] == ["is located in", "need", "feeds on", "feed on"]
 
 
 def test_idf_select_matches_the_formula(spark):
@@ -170,3 +172,47 @@ def test_incremental_matching(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert [(r.source, r.target) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 10)]
+
+
+def test_random_candidates_leave_out_golds_and_their_ancestors(spark):
+    classes = spark.createDataFrame([(f"c{k}",) for k in range(12)], "iri string")
+    gold = spark.createDataFrame([("s", "c1"), ("s", "c2"), ("t", "c3")], "source string, target string")
+    closed = spark.createDataFrame([("c5", "c3"), ("c6", "c3")], "ancestor string, descendant string")
+    rows = co.random_candidates(gold, classes, 4, seed=1, closed=closed).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.source, r.target), []).append(r.candidate)
+    assert {k: len(set(v)) for k, v in by.items()} == {("s", "c1"): 4, ("s", "c2"): 4, ("t", "c3"): 4}
+    assert not {"c1", "c2"} & {*by["s", "c1"], *by["s", "c2"]} and not {"c3", "c5", "c6"} & {*by["t", "c3"]}
+    assert co.random_candidates(gold, classes, 50).where("source = 't'").count() == 11
+
+
+def test_replace_entity_reaches_ids_and_texts(spark):
+    onto = Ontology(
+        entities=spark.createDataFrame([("x", "Classes"), ("y", "Classes")], "iri string, entity_type string"),
+        axioms=spark.createDataFrame([("SubClassOf(<x> <y>)", "SubClassOf", "<x>", "<y>", None)], "axiom_id string, axiom_type string, sub_expr string, sup_expr string, operands array<string>"),
+        exprs=spark.createDataFrame([("<x>", "x", None), ("ObjectUnionOf(<x> <y>)", None, ["<x>", "<y>"])], "expr_id string, iri string, operands array<string>"),
+        annotations=spark.createDataFrame([("x", "p", "<x> is a mark")], "iri string, property_iri string, literal string"),
+        assertions=spark.createDataFrame([("i", "x")], "individual string, cls string"),
+    )
+    new = onto.replace_entity("x", "z")
+    assert [tuple(r) for r in new.axioms.collect()] == [("SubClassOf(<z> <y>)", "SubClassOf", "<z>", "<y>", None)]
+    assert [tuple(r) for r in new.exprs.collect()] == [("<z>", "z", None), ("ObjectUnionOf(<z> <y>)", None, ["<z>", "<y>"])]
+    assert new.assertions.first().cls == "z" and onto.assertions.first().cls == "x"
+
+
+def test_equivalences_and_class_assertions_in_words(spark):
+    texts = spark.createDataFrame([("e1", "wine"), ("e2", "something that is made from grapes")], "expr_id string, text string")
+    axioms = spark.createDataFrame([("a", "EquivalentClasses", ["e1", "e2"]), ("b", "SubClassOf", None), ("c", "EquivalentClasses", ["e1"])], "axiom_id string, axiom_type string, operands array<string>")
+    assert [tuple(r) for r in vb.verbalise_equivalences(axioms, texts).collect()] == [("a", "wine", "something that is made from grapes")]
+    vocab = spark.createDataFrame([("i", "Merlot")], "iri string, name string")
+    found = vb.verbalise_class_assertions(spark.createDataFrame([("i", "e1"), ("j", "?")], "individual string, cls string"), texts, vocab).collect()
+    assert sorted(tuple(r) for r in found) == [("?", "j", "?", "j"), ("e1", "i", "wine", "Merlot")]
+
+
+def test_model_scores_use_the_model_where_no_string_matches(spark):
+    pairs = spark.createDataFrame([("s1", "t1"), ("s1", "t2"), ("s2", "t1")], "source string, target string")
+    source = spark.createDataFrame([("s1", "heart"), ("s1", "cor"), ("s2", None)], "iri string, literal string")
+    target = spark.createDataFrame([("t1", "heart"), ("t2", "hearts")], "iri string, literal string")
+    got = {(r.source, r.target): r.score for r in ma.model_scores(pairs, source, target, tx.edit_similarity).collect()}
+    assert got[("s1", "t1")] == 1.0 and got[("s2", "t1")] == 0.0 and abs(got[("s1", "t2")] - (5 / 6 + 1 / 6) / 2) < 1e-5

@@ -17,5 +17,5 @@ def test_connected_synonyms_over_all_rows(spark, tables):
     for a, b in edges:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in catalogue.QUERIES["connected_synonyms_whole"](spark, tables).collect()}
+    got = {r.node: r.component for r in catalogue.QUERIES["connected_synonyms"](spark, tables).collect()}
     assert got == {x: find(x) for x in list(up)}
