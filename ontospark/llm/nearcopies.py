@@ -110,10 +110,14 @@ def _fingerprints(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def bitmaps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """``PARTS`` numbers for each set: a bit is 1 if an odd number of members fall on it."""
-    wide = 64 * PARTS
-    owner = np.repeat(np.arange(len(counts)), counts)
-    odd = np.bincount(owner * wide + (values >> np.uint64(20)).astype(np.int64) % wide, minlength=len(counts) * wide) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8").reshape(-1, PARTS)
+    wide, bounds = 64 * PARTS, np.r_[0, np.cumsum(counts)]
+    out = np.zeros((len(counts), PARTS), np.int64)
+    for at in range(0, len(counts), 1024):  # as many sets at once as memory bears
+        some = counts[at : at + 1024]
+        own = np.repeat(np.arange(len(some)), some) * wide
+        odd = np.bincount(own + (values[bounds[at] : bounds[at + len(some)]] >> np.uint64(20)).astype(np.int64) % wide, minlength=len(some) * wide) & 1
+        out[at : at + len(some)] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8").reshape(-1, PARTS)
+    return out
 
 
 def _common_shingles(slim: DataFrame, width: int) -> np.ndarray:

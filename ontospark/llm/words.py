@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 
 #: UTF-8 bytes of text that a task works on at once, or one longer text.
 CHUNK = 1 << 20
+ROW_BYTES = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -82,7 +83,8 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[slice, list[str | None]]]:
     """Rows of a text column about ``size`` bytes at a time, so that a batch is never whole in Python's own strings."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    # A row counts for some bytes of its own, so that there are never too many of them.
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES)
     at = 0
     while at < len(column):
         done = ends[at - 1] if at else 0
