@@ -111,7 +111,8 @@ def subsumptions_from_equivalences(mappings: DataFrame, target_edges: DataFrame,
     order of ``position``: a target that has served as a parent gives nothing
     any more, and parents that are mapped targets themselves are left out once
     used, so targets and parents that touch are folded together, and apart from
-    the others.
+    the others. Of more than ``per_mapping`` parents the first ones stay, but all
+    of them have served.
     """
     pairs = mappings.join(edge_table(target_edges).select(F.col("child").alias("target"), F.col("parent")), "target")
     if not delete:
@@ -128,14 +129,10 @@ def subsumptions_from_equivalences(mappings: DataFrame, target_edges: DataFrame,
         for (_, source, target), rows in pdf.sort_values(["position", "parent"]).groupby(["position", "source", "target"], sort=False):
             if target in supers:
                 continue
-            taken = 0
-            for parent in rows["parent"]:
-                if parent in used or (per_mapping and taken >= per_mapping):
-                    continue
-                out.append((source, parent))
-                supers.add(parent)
-                taken += 1
-            if taken:
+            parents = [p for p in rows["parent"] if p not in used]
+            supers.update(parents)
+            out += [(source, p) for p in parents[:per_mapping]]
+            if parents:
                 used.add(target)
         return pd.DataFrame(out, columns=["source", "target"])
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontospark.functions.text import strip_marks
-from ontospark.operators.ontology import Ontology
+from ontospark.operators.ontology import LABEL, NOTHING, THING, Ontology
+from ontospark.runtime import materialize
 
 SUB, SUPER, TYPE = "http://subclassof", "http://superclassof", "http://type"
 EQUIVALENT = "http://equivalentto"
@@ -144,8 +147,6 @@ def project(parts: list[DataFrame], only_taxonomy: bool = False) -> DataFrame:
 
 def flatten_junctions(onto: Ontology) -> DataFrame:
     """``(expr_id, atom)``: the named classes under each expression, through intersections and unions only."""
-    from ontospark.runtime import materialize
-
     parts = onto.exprs.where(F.col("kind").isin("and", "or")).select("expr_id", F.explode("operands").alias("part"))
     at = materialize(onto.exprs.select("expr_id", F.col("expr_id").alias("part")), "parts")
     out = []
@@ -160,8 +161,6 @@ def flatten_junctions(onto: Ontology) -> DataFrame:
 
 def chain_triples(onto: Ontology) -> DataFrame:
     """Triples of nested quantifiers: every relation on the way to an innermost class, by that class."""
-    from ontospark.runtime import materialize
-
     named = onto.named()
     pairs = onto.subsumptions().select("sub_expr", "sup_expr").join(named.select(F.col("expr_id").alias("sub_expr"), F.col("iri").alias("source")), "sub_expr")
     inner = onto.exprs.where(F.col("kind").isin(*QUANTIFIERS)).select(F.col("expr_id").alias("at"), "prop", F.element_at("operands", 1).alias("filler"))
@@ -179,19 +178,56 @@ def chain_triples(onto: Ontology) -> DataFrame:
 
 
 def category_triples(onto: Ontology) -> DataFrame:
-    """Triples of the reading as a category: arrows for subsumption, projections of intersections, injections into unions, negation."""
-    name = onto.exprs.select("expr_id", F.coalesce("iri", "expr_id").alias("name"))
-    own = lambda c: name.select(F.col("expr_id").alias(c), F.col("name").alias(f"{c}_name"))
-    arrow = onto.subsumptions().select("sub_expr", "sup_expr").join(own("sub_expr"), "sub_expr").join(own("sup_expr"), "sup_expr")
-    out = _triples(arrow, F.col("sub_expr_name"), F.lit("id"), F.col("sup_expr_name"))
-    same = onto.equivalences().select("axiom_id", F.explode("operands").alias("e"))
-    both = same.alias("x").join(same.alias("y"), "axiom_id").where("x.e <> y.e").select(F.col("x.e").alias("sub_expr"), F.col("y.e").alias("sup_expr"))
-    out = out.union(_triples(both.join(own("sub_expr"), "sub_expr").join(own("sup_expr"), "sup_expr"), F.col("sub_expr_name"), F.lit("id"), F.col("sup_expr_name")))
-    part = onto.exprs.select("expr_id", "kind", "prop", F.explode("operands").alias("part")).join(own("part"), "part")
-    out = out.union(_triples(part.where("kind = 'and'"), F.col("expr_id"), F.lit("projects"), F.col("part_name")))
-    out = out.union(_triples(part.where("kind = 'or'"), F.col("part_name"), F.lit("injects"), F.col("expr_id")))
-    out = out.union(_triples(part.where("kind = 'not'"), F.concat(F.lit("Not_"), "part_name"), F.lit("negate"), F.col("part_name")))
-    out = out.union(_triples(part.where(F.col("kind").isin(*QUANTIFIERS)), F.col("expr_id"), F.concat(F.lit("projects_"), "prop"), F.col("part_name")))
-    apart = onto.axioms.where("axiom_type = 'DisjointClasses'").select("axiom_id", F.explode("operands").alias("e")).join(own("e"), "e")
-    pairs = apart.alias("x").join(apart.alias("y"), "axiom_id").where("x.e <> y.e")
-    return out.union(_triples(pairs, F.col("x.e_name"), F.lit("id"), F.concat(F.lit("Not_"), F.col("y.e_name")))).distinct()
+    """Triples of the reading as a category, with an ``id`` for every node.
+
+    A subsumption negates its named subclass and injects both sides into the
+    top; a named class projects to the parts of an equivalent intersection, and
+    those of a union are injected into it; the bottom projects to both sides of
+    a disjointness. Relations on the way down an expression are joined to
+    ``projects_r_s`` and ``injects_inv_r``. A relation is called by its label
+    with ``_`` for spaces, or by its iri without one. Where a form has no
+    reading (a union within an intersection, an intersection within a union,
+    ``only`` and ``min`` under another quantifier, ``max``) there is no triple.
+    """
+    named = onto.named()
+    label = onto.annotations.where(F.col("property_iri") == LABEL).groupBy(F.col("iri").alias("prop")).agg(F.min("literal").alias("label"))
+    exprs = onto.exprs.join(label, "prop", "left")
+    exprs = exprs.select("expr_id", "kind", "iri", F.regexp_replace(F.coalesce("label", "prop"), " ", "_").alias("rel"), F.coalesce("operands", F.array().cast("array<string>")).alias("operands"))
+    exprs = materialize(exprs, "exprs")
+    whole = lambda c: named.select(F.col("expr_id").alias(c), F.col("iri").alias("cls"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    subs = onto.subsumptions().select("sub_expr", "sup_expr").join(whole("sub_expr"), "sub_expr")
+    start = subs.select(F.lit(THING).alias("cls"), F.lit("injects").alias("way"), F.explode(F.array("sub_expr", "sup_expr")).alias("expr_id"), none.alias("rel"), no.alias("negated"))
+
+    def others(axioms: DataFrame) -> DataFrame:
+        each = axioms.select("axiom_id", F.explode("operands").alias("e"))
+        return each.join(whole("e"), "e").alias("x").join(each.alias("y"), "axiom_id").where("x.e <> y.e").select("x.cls", F.col("y.e").alias("expr_id"))
+
+    apart = others(onto.axioms.where("axiom_type = 'DisjointClasses'"))
+    start = start.union(apart.select(F.lit(NOTHING), F.lit("projects"), "expr_id", none, no))
+    # The parts of what a class is equivalent to: below quantifiers there is a reading for intersections and unions only.
+    same = others(onto.equivalences())
+    parts = exprs.select("expr_id", "kind", F.explode("operands").alias("part"))
+    while not (same := materialize(same, "same")).isEmpty():
+        inner = same.join(parts, "expr_id")
+        way = F.when(F.col("kind") == "and", "projects").otherwise("injects")
+        start = start.union(inner.where(F.col("kind").isin("and", "or")).select("cls", way, "part", none, no))
+        same = inner.where("kind = 'some'").select("cls", F.col("part").alias("expr_id"))
+    out = [_triples(subs, F.concat(F.lit("Not_"), "cls"), F.lit("negate"), F.col("cls")), _triples(apart, F.lit(NOTHING), F.lit("projects"), F.col("cls"))]
+    while not (start := materialize(start.distinct(), "category")).isEmpty():
+        at = start.withColumnRenamed("rel", "before").join(exprs, "expr_id")
+        leaf = at.where("iri is not null")
+        arrow = F.concat_ws("_", "way", "before")
+        out.append(_triples(leaf.where("way = 'projects'"), F.col("cls"), arrow, F.col("iri")))
+        out.append(_triples(leaf.where("way = 'injects'"), F.col("iri"), arrow, F.col("cls")))
+        out.append(_triples(leaf.where("negated"), F.concat(F.lit("Not_"), "iri"), F.lit("negate"), F.col("iri")))
+        # A negated expression is read in negation normal form: the kinds change places on the way down.
+        swapped = F.when(F.col("negated"), F.element_at(F.create_map(*map(F.lit, ["and", "or", "or", "and", "some", "only", "only", "some", "not", "not"])), F.col("kind"))).otherwise(F.col("kind"))
+        inverse = F.when((F.col("way") == "injects") | F.col("as").isin("min", "exact"), F.concat(F.lit("inv_"), "rel")).otherwise(F.col("rel"))
+        inner = at.where("iri is null").withColumn("as", swapped)
+        goes = (F.col("as").isin("not", "some")) | (F.col("as").isin("only", "min", "exact") & F.col("before").isNull()) | ((F.col("as") == "and") & (F.col("way") == "projects"))
+        rel = F.when(F.col("as").isin("some", "only", "min", "exact"), F.concat_ws("_", "before", inverse)).otherwise(F.col("before"))
+        start = inner.where(goes).select("cls", "way", F.explode("operands").alias("expr_id"), rel.alias("rel"), (F.col("negated") != (F.col("kind") == "not")).alias("negated"))
+    found = materialize(functools.reduce(DataFrame.union, out).distinct(), "category")
+    nodes = found.select("source").union(found.select("target")).distinct()
+    return found.union(_triples(nodes, F.col("source"), F.lit("id"), F.col("source")))

@@ -116,31 +116,45 @@ def saturate(forms: DataFrame, sub_roles: DataFrame | None = None, chains: DataF
     """The completion ``S(x, a)`` (x is below a) and ``R(r, x, y)`` of EL normal forms.
 
     ``sub_roles`` has ``(r, s)`` for r below s, ``chains`` ``(r, s, t)`` for r then s
-    below t. Rules are joins, applied to all that is known until nothing is new.
+    below t. Rules are joins; a round applies them where at least one side is new
+    since the last one, and adds a table of what it found, until nothing is new.
     """
     spark = forms.sparkSession
     forms = materialize(forms, "forms")
     names = forms.select(F.explode(F.array("a", "b", "c")).alias("x")).where("x is not null").distinct()
-    s = materialize(names.select("x", F.col("x").alias("a")).union(names.select("x", F.lit(THING).alias("a"))).distinct(), "s")
-    r = materialize(spark.createDataFrame([], "r string, x string, y string"), "r")
     f = {k: forms.where(F.col("form") == k) for k in ("sub", "and", "some_right", "some_left")}
+    first, second = f["and"].select("a", "b", "c"), f["and"].select(F.col("b").alias("a"), F.col("a").alias("b"), "c")
+
+    def ends(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(r, y, c)``: whatever has an r to y is below c; and ``(y, c)``, for any r, of the unsatisfiable."""
+        by_role = s.join(f["some_left"].select("a", "r", "c"), "a").select("r", F.col("x").alias("y"), "c")
+        return by_role, s.where(F.col("a") == NOTHING).select(F.col("x").alias("y"), F.col("a").alias("c"))
+
+    def back(r: DataFrame, s: DataFrame) -> DataFrame:
+        by_role, bottom = ends(s)
+        return r.join(by_role, ["r", "y"]).select("x", F.col("c").alias("a")).union(r.join(bottom, "y").select("x", F.col("c").alias("a")))
+
+    def chained(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(F.col("r").alias("s"), F.col("x").alias("y"), F.col("y").alias("z"))
+        return left.join(chains, "r").join(right, ["s", "y"]).select(F.col("t").alias("r"), "x", F.col("z").alias("y"))
+
+    new_s = s = materialize(names.select("x", F.col("x").alias("a")).union(names.select("x", F.lit(THING).alias("a"))).distinct(), "s")
+    new_r = r = materialize(spark.createDataFrame([], "r string, x string, y string"), "r")
     while True:
-        new = s.join(f["sub"].select("a", "c"), "a").select("x", F.col("c").alias("a"))
-        both = s.select("x", "a").join(f["and"].select("a", "b", "c"), "a").join(s.select("x", F.col("a").alias("b")), ["x", "b"]).select("x", F.col("c").alias("a"))
-        links = s.join(f["some_right"].select("a", "r", "c"), "a").select("r", "x", F.col("c").alias("y"))
-        back = r.join(s.select(F.col("x").alias("y"), "a"), "y")
-        left = back.join(f["some_left"].select("a", "r", "c"), ["a", "r"]).select("x", F.col("c").alias("a"))
-        bottom = back.where(F.col("a") == NOTHING).select("x", "a")
+        above = new_s.join(f["sub"].select("a", "c"), "a").select("x", F.col("c").alias("a"))
+        for one in (first, second):
+            above = above.union(new_s.join(one, "a").join(s.select("x", F.col("a").alias("b")), ["x", "b"]).select("x", F.col("c").alias("a")))
+        above = above.union(back(new_r, s)).union(back(r, new_s))
+        links = new_s.join(f["some_right"].select("a", "r", "c"), "a").select("r", "x", F.col("c").alias("y"))
         if sub_roles is not None:
-            links = links.union(r.join(sub_roles, "r").select(F.col("s").alias("r"), "x", "y"))
+            links = links.union(new_r.join(sub_roles, "r").select(F.col("s").alias("r"), "x", "y"))
         if chains is not None:
-            second = r.select(F.col("r").alias("s"), F.col("x").alias("y"), F.col("y").alias("z"))
-            links = links.union(r.join(chains, "r").join(second, ["s", "y"]).select(F.col("t").alias("r"), "x", F.col("z").alias("y")))
-        more_s = materialize(new.union(both).union(left).union(bottom).distinct().join(s, ["x", "a"], "left_anti"), "s")
-        more_r = materialize(links.distinct().join(r, ["r", "x", "y"], "left_anti"), "r")
-        if more_s.isEmpty() and more_r.isEmpty():
+            links = links.union(chained(new_r, r)).union(chained(r, new_r))
+        new_s = materialize(above.distinct().join(s, ["x", "a"], "left_anti").select("x", "a"), "s")
+        new_r = materialize(links.distinct().join(r, ["r", "x", "y"], "left_anti").select("r", "x", "y"), "r")
+        if new_s.isEmpty() and new_r.isEmpty():
             return s, r
-        s, r = materialize(s.union(more_s.select("x", "a")), "s"), materialize(r.union(more_r.select("r", "x", "y")), "r")
+        s, r = s.union(new_s), r.union(new_r)
 
 
 def unsatisfiable(s: DataFrame) -> DataFrame:

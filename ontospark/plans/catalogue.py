@@ -652,7 +652,9 @@ def project_chains(t: Tables) -> DataFrame:
     return pj.chain_triples(_part_ontology(t))
 
 
-@query("SELECT 'part:' || p_partkey AS source, 'id' AS relation, 'type:' || p_type AS target FROM part UNION SELECT 'part:' || p_partkey, 'id', 'some hasBrand brand:' || p_brand FROM part UNION SELECT 'some hasBrand brand:' || p_brand, 'projects_hasBrand', 'brand:' || p_brand FROM part")
+@query("""WITH t AS (SELECT 'Not_part:' || p_partkey AS source, 'negate' AS relation, 'part:' || p_partkey AS target FROM part UNION SELECT 'part:' || p_partkey, 'injects', 'http://www.w3.org/2002/07/owl#Thing' FROM part
+    UNION SELECT 'type:' || p_type, 'injects', 'http://www.w3.org/2002/07/owl#Thing' FROM part UNION SELECT 'brand:' || p_brand, 'injects_inv_hasBrand', 'http://www.w3.org/2002/07/owl#Thing' FROM part)
+    SELECT * FROM t UNION SELECT source, 'id', source FROM t UNION SELECT target, 'id', target FROM t""")
 def project_category(t: Tables) -> DataFrame:
     return pj.category_triples(_part_ontology(t))
 

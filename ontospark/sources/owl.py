@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ def _tree(tokens: list[str]) -> list:
     stack: list[list] = [[]]
     for t in tokens:
         if t == "(":
-            head = stack[-1].pop() if stack[-1] else ""
+            named = stack[-1] and isinstance(stack[-1][-1], str) and stack[-1][-1].isalpha()  # a keyword, not an entity before a list
+            head = stack[-1].pop() if named else ""
             stack.append([head])
         elif t == ")":
             if len(stack) == 1:
@@ -49,8 +51,18 @@ def _literal(token: str) -> tuple[str, str | None]:
     return body.replace('\\"', '"').replace("\\\\", "\\"), tail[1:] if tail.startswith("@") else None
 
 
+def _full(node, prefixes: dict[str, str]) -> str:
+    """A part of an axiom in functional syntax without prefixes."""
+    if isinstance(node, list):
+        return f"{node[0]}({' '.join(_full(x, prefixes) for x in node[1:])})"
+    if node.startswith('"'):
+        body, mark, kind = node.rpartition('"^^')
+        return f"{body}{mark}<{_iri(kind, prefixes)}>" if mark else node
+    return node if node.isdigit() or "=" in node else f"<{_iri(node, prefixes)}>"
+
+
 def parse_line(line: str, prefixes: dict[str, str]) -> list[tuple]:
-    """Rows ``(table, a, b, c, d, list)`` of one axiom."""
+    """Rows ``(table, a, b, c, d, list)`` of one axiom; of a kind that has no table of its own the text is kept, with full iris."""
     out: list[tuple] = []
 
     def expr(node) -> str:
@@ -86,28 +98,36 @@ def parse_line(line: str, prefixes: dict[str, str]) -> list[tuple]:
             cls = expr(args[0])
             out.append(("assertion", _iri(args[1], prefixes), "http://type", cls[1:-1] if cls.startswith("<") else cls, None, None))
         elif head in ("ObjectPropertyAssertion", "DataPropertyAssertion"):
+            if head == "DataPropertyAssertion":  # its objects are literals, and are written as such
+                out.append(("entity", _iri(args[0], prefixes), DECLARED["DataProperty"], None, None, None))
             value = _literal(args[2])[0] if args[2].startswith('"') else _iri(args[2], prefixes)
             out.append(("assertion", _iri(args[1], prefixes), _iri(args[0], prefixes), value, None, None))
         elif head in ("SubClassOf", "SubObjectPropertyOf", "SubDataPropertyOf", "SubAnnotationPropertyOf", "ObjectPropertyDomain", "ObjectPropertyRange"):
             out.append(("axiom", head, expr(args[0]), expr(args[1]), line.strip(), None))
         elif head in ("EquivalentClasses", "DisjointClasses", "EquivalentObjectProperties", "EquivalentDataProperties", "InverseObjectProperties"):
             out.append(("axiom", head, None, None, line.strip(), [expr(a) for a in args]))
+        else:
+            out.append(("axiom", head, None, None, _full([head, *args], prefixes), None))
     return out
 
 
 def read_functional(spark: SparkSession, path: str) -> Ontology:
-    """The tables of the ontologies under ``path``; prefixes come from the files' ``Prefix`` lines."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"))
-    found = lines.where(F.col("line").startswith("Prefix(")).select(F.regexp_extract("line", r"^Prefix\(\s*([^:\s]*):\s*=\s*<([^>]*)>", 1).alias("p"), F.regexp_extract("line", r"^Prefix\(\s*([^:\s]*):\s*=\s*<([^>]*)>", 2).alias("i")).distinct()
-    prefixes = PREFIXES | {r["p"]: r["i"] for r in found.limit(10_000).collect()}
+    """The tables of the ontologies under ``path``; a file's prefixes are those of its ``Prefix`` lines."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
+    pattern = r"^Prefix\(\s*([^:\s]*):\s*=\s*<([^>]*)>"
+    found = lines.where(F.col("line").startswith("Prefix(")).select("file", *(F.regexp_extract("line", pattern, k).alias(c) for k, c in ((1, "p"), (2, "i"))))
+    by_file = found.groupBy("file", "p").agg(F.max("i").alias("i")).groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p", "i")))).alias("prefixes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for line in batch["line"] for row in parse_line(line, prefixes)]
+            rows = []
+            for prefixes, part in batch.groupby("prefixes", dropna=False, sort=False):
+                known = PREFIXES | (json.loads(prefixes) if isinstance(prefixes, str) else {})
+                rows += [row for line in part["line"] for row in parse_line(line, known)]
             yield pd.DataFrame(rows, columns=["t", "a", "b", "c", "d", "l"])
 
     axioms = lines.where(~F.col("line").rlike(r"^(Prefix|Ontology|Import)\(") & ~F.col("line").isin("", ")") & ~F.col("line").startswith("#"))
-    rows = materialize(axioms.mapInPandas(run, "t string, a string, b string, c string, d string, l array<string>"), "owl")
+    rows = materialize(axioms.join(by_file, "file", "left").select("line", "prefixes").mapInPandas(run, "t string, a string, b string, c string, d string, l array<string>"), "owl")
     of = lambda t: rows.where(F.col("t") == t)
     kind = F.when(F.col("a").contains("ObjectPropert"), "ObjectProperties").when(F.col("a").contains("DataPropert"), "DataProperties").when(F.col("a").contains("AnnotationPropert"), "AnnotationProperties").otherwise("Classes")
     axiom = of("axiom").select(F.sha1("d").alias("axiom_id"), F.col("a").alias("axiom_type"), kind.alias("entity_type"), F.col("b").alias("sub_expr"), F.col("c").alias("sup_expr"), F.col("l").alias("operands"), F.col("d").alias("text"))
@@ -125,12 +145,17 @@ def functional_lines(onto: Ontology) -> DataFrame:
     one = F.create_map(*[F.lit(x) for k, v in DECLARED.items() for x in (v, k)])
     declared = onto.entities.select(F.concat(F.lit("Declaration("), F.element_at(one, F.col("entity_type")), F.lit("(<"), "iri", F.lit(">))")))
     two = onto.axioms.where("sub_expr is not null").select(F.concat("axiom_type", F.lit("("), "sub_expr", F.lit(" "), "sup_expr", F.lit(")")))
-    many = onto.axioms.where("sub_expr is null").select(F.concat("axiom_type", F.lit("("), F.array_join("operands", " "), F.lit(")")))
-    escaped = F.replace(F.replace("literal", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    many = onto.axioms.where("sub_expr is null and operands is not null").select(F.concat("axiom_type", F.lit("("), F.array_join("operands", " "), F.lit(")")))
+    if "text" in onto.axioms.columns:  # kinds of axioms without a table of their own
+        many = many.union(onto.axioms.where("sub_expr is null and operands is null").select("text"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     tail = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), "lang")).otherwise(F.lit(""))
-    notes = onto.annotations.select(F.concat(F.lit("AnnotationAssertion(<"), "property_iri", F.lit("> <"), "iri", F.lit('> "'), escaped, F.lit('"'), tail, F.lit(")")))
+    notes = onto.annotations.select(F.concat(F.lit("AnnotationAssertion(<"), "property_iri", F.lit("> <"), "iri", F.lit("> "), quoted(F.col("literal")), tail, F.lit(")")))
     typed = onto.assertions.where("predicate = 'http://type'").select(F.concat(F.lit("ClassAssertion("), F.when(F.col("object").contains("("), F.col("object")).otherwise(F.concat(F.lit("<"), "object", F.lit(">"))), F.lit(" <"), "subject", F.lit(">)")))
-    facts = onto.assertions.where("predicate <> 'http://type'").select(F.concat(F.lit("ObjectPropertyAssertion(<"), "predicate", F.lit("> <"), "subject", F.lit("> <"), "object", F.lit(">)")))
+    data = onto.entities.where(F.col("entity_type") == DECLARED["DataProperty"]).select(F.col("iri").alias("predicate"), F.lit(True).alias("data")).distinct()
+    head = F.concat(F.when(F.col("data"), F.lit("DataPropertyAssertion(<")).otherwise(F.lit("ObjectPropertyAssertion(<")), "predicate", F.lit("> <"), "subject", F.lit("> "))
+    last = F.when(F.col("data"), quoted(F.col("object"))).otherwise(F.concat(F.lit("<"), "object", F.lit(">")))
+    facts = onto.assertions.where("predicate <> 'http://type'").join(data, "predicate", "left").select(F.concat(head, last, F.lit(")")))
     return declared.union(two).union(many).union(notes).union(typed).union(facts).toDF("value")
 
 

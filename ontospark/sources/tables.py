@@ -12,6 +12,9 @@ from ontospark.operators.corpora import split as hash_split
 
 #: Cells that mean a missing value; NULL, null and n/a are strings.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NaN", "None", "nan"]
+#: A string in quotes, or what stands between two of them.
+_PIECES = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[^'"]++"""
+UNMATCHED = "UnMatched"
 CANDIDATES = "array<struct<iri:string,score:double,answer:boolean>>"
 
 
@@ -33,12 +36,12 @@ def read_mappings(spark: SparkSession, path: str, threshold: float | None = None
 def parse_candidates(cell: Column) -> Column:
     """A list cell as ``CANDIDATES``: bare iris (scored by place), ``(iri, score)`` or ``(iri, score, answer)``, best first.
 
-    Nothing is evaluated: the cell is turned into JSON and read as such.
+    Nothing is evaluated: the cell is turned into JSON and read as such, what stands in quotes as it is.
     """
-    json = F.translate(F.trim(cell), "()", "[]")
-    json = F.regexp_replace(F.regexp_replace(json, r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    json = F.regexp_replace(json, r",\s*\]", "]")
-    options = {"allowSingleQuotes": "true"}
+    pieces = F.regexp_extract_all(F.trim(cell), F.lit(_PIECES), F.lit(0))
+    plain = lambda x: F.replace(F.replace(F.replace(F.translate(x, "()", "[]"), F.lit("True"), F.lit("true")), F.lit("False"), F.lit("false")), F.lit("None"), F.lit("null"))
+    json = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^['\"]"), x).otherwise(F.regexp_replace(plain(x), r",\s*\]", "]"))), "")
+    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
     nested = F.from_json(json, "array<array<string>>", options)
     bare = F.from_json(json, "array<string>", options)
     scored = F.transform(nested, lambda x: F.struct(x[0].alias("iri"), x[1].cast("double").alias("score"), F.try_element_at(x, F.lit(3)).cast("boolean").alias("answer")))
@@ -61,11 +64,28 @@ def explode_candidates(candidates: DataFrame) -> DataFrame:
     return each.select("source", "reference", F.col("c.iri").alias("target"), F.col("c.score").alias("score"), F.col("c.answer").alias("answer"))
 
 
+def _known_relation(relation: Column) -> Column:
+    bad = F.raise_error(F.concat(F.lit("no such relation: "), F.coalesce(relation, F.lit("none"))))
+    return F.when(relation.isin("=", "<", ">", "?"), relation).otherwise(bad.cast("string"))
+
+
+def split_candidates(candidates: DataFrame, threshold: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``read_candidates`` gives as matched and unmatched rows, predictions and references.
+
+    Rows whose target is ``UnMatched`` are unmatched and give no reference.
+    Predictions ``(source, target, score)`` are the candidates of either kind
+    whose answer is true and that score ``threshold`` or more.
+    """
+    matched, unmatched = (candidates.where(cond) for cond in (~F.col("target").eqNullSafe(UNMATCHED), F.col("target").eqNullSafe(UNMATCHED)))
+    predicted = explode_candidates(candidates).where(F.col("answer") & (F.col("score") >= threshold)).select("source", "target", "score")
+    return matched, unmatched, predicted, matched.select("source", "target", F.lit(1.0).alias("score"))
+
+
 def read_alignment(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Mappings of an alignment in XML by relation: ``=``, ``<``, ``>`` are references, ``?`` is ignored; the others raise on use."""
+    """Mappings of an alignment in XML by relation: ``=``, ``<``, ``>`` are references, ``?`` is ignored; the others, or none, raise on use."""
     schema = "entity1 struct<`_rdf:resource`:string>, entity2 struct<`_rdf:resource`:string>, relation string, measure string"
     cells = spark.read.format("xml").option("rowTag", "Cell").schema(schema).load(path)
-    flat = cells.select(F.col("entity1.`_rdf:resource`").alias("source"), F.col("entity2.`_rdf:resource`").alias("target"), F.trim("relation").alias("relation"), F.col("measure").cast("double").alias("score"))
+    flat = cells.select(F.col("entity1.`_rdf:resource`").alias("source"), F.col("entity2.`_rdf:resource`").alias("target"), _known_relation(F.trim("relation")).alias("relation"), F.col("measure").cast("double").alias("score"))
     return flat.where(F.col("relation").isin("=", "<", ">")), flat.where("relation = '?'")
 
 

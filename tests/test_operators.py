@@ -9,6 +9,7 @@ from ontospark.operators import annotations as an
 from ontospark.operators import corpora as co
 from ontospark.operators import evaluation as ev
 from ontospark.operators import matching as ma
+from ontospark.operators import projection as pj
 from ontospark.operators import reasoning as re_
 from ontospark.operators import verbalisation as vb
 from ontospark.operators.ontology import Ontology
@@ -69,6 +70,10 @@ def test_online_subsumptions_take_order_into_account(spark):
     edges = spark.createDataFrame([("p", "t1"), ("p", "t2"), ("q", "p")], "parent string, child string")
     assert {tuple(r) for r in ma.subsumptions_from_equivalences(maps, edges, delete=True).collect()} == {("s1", "p"), ("s2", "p")}
     assert ma.subsumptions_from_equivalences(maps, edges).count() == 3
+    # A parent that the cut leaves out has served all the same: its own mapping gives nothing.
+    maps = spark.createDataFrame([(1, "s1", "t"), (2, "s2", "b")], "position long, source string, target string")
+    edges = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "b")], "parent string, child string")
+    assert {tuple(r) for r in ma.subsumptions_from_equivalences(maps, edges, delete=True, per_mapping=1).collect()} == {("s1", "a")}
 
 
 def test_repair(spark):
@@ -112,6 +117,48 @@ def test_functional_syntax_reasoning_and_round_trip(spark, tmp_path):
     assert pruned.axioms.where("sub_expr = '<http://e/A>' and sup_expr like 'ObjectSome%'").count() == 1
 
 
+def test_axioms_of_other_kinds_data_and_prefixes_by_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ofn").write_text("Prefix(p:=<http://a/>)\nTransitiveObjectProperty(p:r)\nDataPropertyAssertion(p:age p:i \"5\\\"\"^^xsd:integer)\nObjectPropertyAssertion(p:r p:i p:j)\nDataPropertyRange(p:age xsd:integer)\n")
+    (tmp_path / "in" / "b.ofn").write_text("Prefix(p:=<http://b/>)\nSubClassOf(p:A p:B)\nHasKey(p:A () (p:age))\n")
+    onto = owl.read_functional(spark, str(tmp_path / "in"))
+    assert {(r.axiom_type, r.sub_expr, r.text) for r in onto.axioms.collect()} == {
+        ("TransitiveObjectProperty", None, "TransitiveObjectProperty(<http://a/r>)"),
+        ("DataPropertyRange", None, "DataPropertyRange(<http://a/age> <http://www.w3.org/2001/XMLSchema#integer>)"),
+        ("SubClassOf", "<http://b/A>", "SubClassOf(p:A p:B)"),
+        ("HasKey", None, "HasKey(<http://b/A> () (<http://b/age>))"),
+    }
+    owl.write_functional(onto, str(tmp_path / "out"))
+    lines = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert {"TransitiveObjectProperty(<http://a/r>)", "ObjectPropertyAssertion(<http://a/r> <http://a/i> <http://a/j>)", 'DataPropertyAssertion(<http://a/age> <http://a/i> "5\\"")'} <= lines
+    again = owl.read_functional(spark, str(tmp_path / "out"))
+    assert sorted(map(str, again.assertions.collect())) == sorted(map(str, onto.assertions.collect()))
+
+
+def test_completion_with_roles_chains_and_bottom(spark):
+    top = "http://www.w3.org/2002/07/owl#Nothing"
+    rows = [("some_right", "A", None, "r", "B"), ("some_right", "B", None, "s", "C"), ("some_left", "C", None, "t", "D"), ("some_left", "B", None, "q", "E"), ("and", "D", "E", None, "F"), ("some_right", "G", None, "r", "H"), ("sub", "H", None, None, top)]
+    forms = spark.createDataFrame(rows, "form string, a string, b string, r string, c string")
+    roles, chains = spark.createDataFrame([("r", "q")], "r string, s string"), spark.createDataFrame([("r", "s", "t")], "r string, s string, t string")
+    s, r = re_.saturate(forms, roles, chains)
+    below = {(x.x, x.a) for x in s.collect()}
+    assert {("A", "D"), ("A", "E"), ("A", "F"), ("G", top)} <= below and ("B", "D") not in below
+    assert {tuple(x) for x in r.collect()} >= {("r", "A", "B"), ("q", "A", "B"), ("t", "A", "C")}
+    assert s.count() == s.distinct().count()
+
+
+def test_category_reading(spark):
+    rows = [("A", "class", "A", None, None), ("B", "class", "B", None, None), ("C", "class", "C", None, None), ("rC", "some", None, "r", ["C"]), ("nC", "not", None, None, ["C"]), ("srC", "some", None, "s", ["rC"]), ("j", "and", None, None, ["srC", "nC"]), ("u", "or", None, None, ["B", "rC"]), ("nu", "not", None, None, ["u"])]
+    exprs = spark.createDataFrame(rows, "expr_id string, kind string, iri string, prop string, operands array<string>")
+    axioms = spark.createDataFrame([("1", "EquivalentClasses", None, None, ["A", "j"]), ("2", "DisjointClasses", None, None, ["A", "B"]), ("3", "SubClassOf", "B", "u", None), ("4", "EquivalentClasses", None, None, ["C", "nu"])], "axiom_id string, axiom_type string, sub_expr string, sup_expr string, operands array<string>")
+    notes = spark.createDataFrame([("s", "http://www.w3.org/2000/01/rdf-schema#label", "part of", None)], "iri string, property_iri string, literal string, lang string")
+    found = pj.category_triples(Ontology(None, axioms, exprs, notes, None))
+    top, bottom = "http://www.w3.org/2002/07/owl#Thing", "http://www.w3.org/2002/07/owl#Nothing"
+    got = {tuple(x) for x in found.where("relation <> 'id'").collect()}
+    assert got == {("A", "projects_part_of_r", "C"), ("Not_C", "negate", "C"), ("A", "projects", "C"), (bottom, "projects", "A"), (bottom, "projects", "B"), ("Not_B", "negate", "B"), ("B", "injects", top)}
+    assert {x.source for x in found.where("relation = 'id'").collect()} == {x for s, _, t in got for x in (s, t)}
+
+
 def test_parser_and_verbaliser(spark):
     text = "EquivalentClasses(<http://purl.obolibrary.org/obo/FOODON_00001707> ObjectIntersectionOf(<http://purl.obolibrary.org/obo/FOODON_00002044> ObjectSomeValuesFrom(<http://purl.obolibrary.org/obo/RO_0001000> <http://purl.obolibrary.org/obo/FOODON_03412116>)) )"
     spans = [(n.name, n.start, n.end) for _, n in vb.parse(vb.abbreviate(text)).walk()][1:]
@@ -135,6 +182,23 @@ def test_candidate_cells(spark):
     assert got == [[("u1", 1.0, None), ("u2", 0.5, None)], [("u2", 0.7, None), ("u1", 0.2, None)], [("u2", 0.9, True), ("u1", 0.04, False)]]
 
 
+def test_candidate_cells_keep_what_is_quoted(spark, tmp_path):
+    rows = ["a\tb\t[('http://x/Foo_(bar)', 0.5, True), ('http://x/True, ]', 0.9, False), ('n', 0.1, None)]", "c\tUnMatched\t[('d', 0.7, True), ('e', 0.2, True)]"]
+    (tmp_path / "c.tsv").write_text("SrcEntity\tTgtEntity\tTgtCandidates\n" + "\n".join(rows) + "\n")
+    cands = tb.read_candidates(spark, str(tmp_path / "c.tsv"))
+    assert [x["iri"] for x in cands.where("source = 'a'").first()["candidates"]] == ["http://x/True, ]", "http://x/Foo_(bar)", "n"]
+    matched, unmatched, predicted, refs = tb.split_candidates(cands, 0.3)
+    assert [r.source for r in matched.collect()] == ["a"] and [r.source for r in unmatched.collect()] == ["c"]
+    assert {(r.source, r.target) for r in predicted.collect()} == {("a", "http://x/Foo_(bar)"), ("c", "d")}
+    assert [tuple(r) for r in refs.collect()] == [("a", "b", 1.0)]
+
+
+def test_unknown_relations_raise(spark, tmp_path):
+    (tmp_path / "a.rdf").write_text('<A><map><Cell><entity1 rdf:resource="a"/><entity2 rdf:resource="b"/><relation>~</relation><measure>1.0</measure></Cell></map></A>')
+    with pytest.raises(Exception, match="no such relation: ~"):
+        tb.read_alignment(spark, str(tmp_path / "a.rdf"))[0].collect()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("SrcEntity\tTgtEntity\tScore\na\tx\t0.9\nb\ty\t0.2\nNULL\tNA\t1\n")
     assert {(r.source, r.target) for r in tb.read_mappings(spark, str(tmp_path / "m.tsv"), 0.5).collect()} == {("a", "x"), ("NULL", None)}
