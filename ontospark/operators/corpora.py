@@ -143,7 +143,8 @@ def negative_classes(pairs: DataFrame, classes: DataFrame, closed: DataFrame, n:
     place = rows.select(F.col("iri").alias("sub"), "k")
     start = F.col("k") if seed is None else F.pmod(F.xxhash64("sub", "sup", F.lit(seed)), F.lit(size)) + 1
     p = pairs.select("sub", "sup").distinct().join(place, "sub").join(many, "sub", "left").withColumn("start", start)
-    steps = F.least(F.lit(size - 1).cast("long"), F.lit(n + 1) + F.coalesce("banned", F.lit(0)))
+    # From its own place a class comes last on the ring, from a drawn one anywhere.
+    steps = F.least(F.lit(size - (seed is None)).cast("long"), F.lit(n + 1) + F.coalesce("banned", F.lit(0)))
     probes = p.where(steps >= 1).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), steps)))
     probes = probes.withColumn("k", F.pmod(F.col("start") + F.col("i") - 1, F.lit(size)) + 1).select("sub", "sup", "i", "k")
     found = probes.join(rows.select("k", F.col("iri").alias("negative")), "k").where("negative <> sub")

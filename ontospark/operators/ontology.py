@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ontospark.runtime import materialize
 
 THING, NOTHING = "http://www.w3.org/2002/07/owl#Thing", "http://www.w3.org/2002/07/owl#Nothing"
+TYPE = "http://type"
 LABEL, DEPRECATED = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2002/07/owl#deprecated"
 #: The top and bottom entity of each kind.
 TOPS = {"Classes": THING, "ObjectProperties": "http://www.w3.org/2002/07/owl#topObjectProperty", "DataProperties": "http://www.w3.org/2002/07/owl#topDataProperty"}
@@ -69,7 +70,17 @@ class Ontology:
         return self._axioms(EQUIVALENCE, kind)
 
     def assertion_axioms(self, kind: str = "Classes") -> DataFrame:
-        return self._axioms(ASSERTION, kind)
+        """``(axiom_type, subject, predicate, object)``: assertions of classes, of properties of a kind, or annotations."""
+        if kind not in ASSERTION:
+            raise ValueError(f"no such axioms for {kind}")
+        if kind == "AnnotationProperties":
+            rows = self.annotations.select(F.col("iri").alias("subject"), F.col("property_iri").alias("predicate"), F.col("literal").alias("object"))
+        elif kind == "Classes":
+            rows = self.assertions.where(F.col("predicate") == TYPE)
+        else:
+            data = self.of_kind("DataProperties").select(F.col("iri").alias("predicate")).distinct()
+            rows = self.assertions.where(F.col("predicate") != TYPE).join(data, "predicate", "left_semi" if kind == "DataProperties" else "left_anti")
+        return rows.select(F.lit(ASSERTION[kind]).alias("axiom_type"), "subject", "predicate", "object").distinct()
 
     def named(self) -> DataFrame:
         """``(expr_id, iri)`` of the expressions that are entities."""

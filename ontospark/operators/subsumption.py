@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontospark.operators.corpora import balanced, corpus, draw_order, numbered, synonym_groups, synonym_pairs
+from ontospark.operators.corpora import balanced, corpus, draw_order, negative_classes, numbered, synonym_groups, synonym_pairs
 from ontospark.operators.graph import edge_table, sibling_groups
 from ontospark.operators.ontology import Ontology
 from ontospark.operators.reasoning import assumed_disjoint, normalise, saturate
@@ -79,6 +79,17 @@ def training_samples(positives: DataFrame, negatives: DataFrame, pos_dup: int =
     return balanced(whole, ["text_a", "text_b", "_copy"]).where("text_a <> '' and text_b <> ''").drop("_copy")
 
 
+def inter_ontology_samples(pairs: DataFrame, target_classes: DataFrame, target_closed: DataFrame, sub_names: DataFrame, sup_names: DataFrame, pos_dup: int = 1, neg_dup: int = 1, seed: int = 0) -> DataFrame:
+    """Training samples of subsumptions ``(sub, sup)`` from one ontology into another.
+
+    For each pair ``neg_dup`` classes of the target that are neither ``sup`` nor
+    above it make the negatives, each pair with draws of its own.
+    """
+    drawn = negative_classes(pairs.select(F.col("sup").alias("sub"), F.col("sub").alias("sup")), target_classes, target_closed, neg_dup, seed)
+    negatives = drawn.select(F.col("sup").alias("sub"), F.col("negative").alias("sup"))
+    return training_samples(label_samples(pairs, sub_names, sup_names, 1), label_samples(negatives, sub_names, sup_names, 0), pos_dup)
+
+
 def _runs(df: DataFrame, group: str, item: str) -> tuple[DataFrame, int]:
     """``(k, group, item, start, size)``, numbered by group and then item, with the run of numbers that the group has; and their number."""
     rows = materialize(numbered(df.select(F.col(group).alias("group"), F.col(item).alias("item")).distinct(), ["group", "item"]), "rows")

@@ -124,6 +124,16 @@ def write_corpus(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").partitionBy("label").json(path)
 
 
+def write_walks(walks: DataFrame, path: str, of_interest: DataFrame | None = None) -> None:
+    """A line of space-joined tokens per walk ``(start, walk, step, token)``; with nodes ``id`` of interest only walks that meet one."""
+    if of_interest is not None:
+        met = walks.join(of_interest.select(F.col("id").alias("token")), "token", "left_semi").select("start", "walk").distinct()
+        walks = walks.join(met, ["start", "walk"], "left_semi")
+    tokens = F.array_sort(F.collect_list(F.struct("step", "token")))
+    lines = walks.groupBy("start", "walk").agg(F.concat_ws(" ", F.transform(tokens, lambda x: x["token"])).alias("value"))
+    lines.select("value").write.mode("overwrite").text(path)
+
+
 def new_rows(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is left to do of ``df`` when ``done`` was written already: a restart goes on where it stopped."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")

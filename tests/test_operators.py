@@ -11,6 +11,7 @@ from ontospark.operators import evaluation as ev
 from ontospark.operators import matching as ma
 from ontospark.operators import projection as pj
 from ontospark.operators import reasoning as re_
+from ontospark.operators import subsumption as sb
 from ontospark.operators import verbalisation as vb
 from ontospark.operators.ontology import Ontology
 from ontospark.sources import owl
@@ -128,6 +129,10 @@ def test_axioms_of_other_kinds_data_and_prefixes_by_file(spark, tmp_path):
         ("SubClassOf", "<http://b/A>", "SubClassOf(p:A p:B)"),
         ("HasKey", None, "HasKey(<http://b/A> () (<http://b/age>))"),
     }
+    asserted = lambda kind: [tuple(r) for r in onto.assertion_axioms(kind).collect()]
+    assert asserted("DataProperties") == [("DataPropertyAssertion", "http://a/i", "http://a/age", '5"')]
+    assert asserted("ObjectProperties") == [("ObjectPropertyAssertion", "http://a/i", "http://a/r", "http://a/j")]
+    assert asserted("Classes") == asserted("AnnotationProperties") == []
     owl.write_functional(onto, str(tmp_path / "out"))
     lines = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
     assert {"TransitiveObjectProperty(<http://a/r>)", "ObjectPropertyAssertion(<http://a/r> <http://a/i> <http://a/j>)", 'DataPropertyAssertion(<http://a/age> <http://a/i> "5\\"")'} <= lines
@@ -147,6 +152,25 @@ def test_completion_with_roles_chains_and_bottom(spark):
     assert s.count() == s.distinct().count()
 
 
+def test_inter_ontology_samples(spark):
+    pairs = spark.createDataFrame([("s1", "t1"), ("s2", "t2")], "sub string, sup string")
+    classes = spark.createDataFrame([("t0",), ("t1",), ("t2",), ("t3",)], "iri string")
+    closed = spark.createDataFrame([("t0", "t1"), ("t0", "t2")], "ancestor string, descendant string")
+    names = spark.createDataFrame([(x, x) for x in ("s1", "s2", "t0", "t1", "t2", "t3")], "iri string, literal string")
+    rows = [tuple(r) for r in sb.inter_ontology_samples(pairs, classes, closed, names, names, 2, 2).collect()]
+    assert Counter(r for r in rows if r[2] == 1) == {("s1", "t1", 1): 2, ("s2", "t2", 1): 2}
+    assert Counter(r for r in rows if r[2] == 0) == {("s1", "t2", 0): 1, ("s1", "t3", 0): 1, ("s2", "t1", 0): 1, ("s2", "t3", 0): 1}
+
+
+def test_walk_lines(spark, tmp_path):
+    walks = spark.createDataFrame([("a", 0, 0, "a"), ("a", 0, 1, "r"), ("a", 0, 2, "b"), ("c", 0, 0, "c")], "start string, walk int, step int, token string")
+    lines = lambda: sorted(r.value for r in spark.read.text(str(tmp_path / "w")).collect())
+    tb.write_walks(walks, str(tmp_path / "w"))
+    assert lines() == ["a r b", "c"]
+    tb.write_walks(walks, str(tmp_path / "w"), spark.createDataFrame([("b",)], "id string"))
+    assert lines() == ["a r b"]
+
+
 def test_category_reading(spark):
     rows = [("A", "class", "A", None, None), ("B", "class", "B", None, None), ("C", "class", "C", None, None), ("rC", "some", None, "r", ["C"]), ("nC", "not", None, None, ["C"]), ("srC", "some", None, "s", ["rC"]), ("j", "and", None, None, ["srC", "nC"]), ("u", "or", None, None, ["B", "rC"]), ("nu", "not", None, None, ["u"])]
     exprs = spark.createDataFrame(rows, "expr_id string, kind string, iri string, prop string, operands array<string>")
