@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontospark.llm.words import chunks, lean
-from ontospark.runtime import connected_components, materialize
+from ontospark.runtime import connected_components, drop_materialized, materialize
 
 SEGMENTS, BITS = 2, 32
 MAX_DISTANCE = 3
@@ -191,7 +191,8 @@ def fingerprint_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     low = F.shiftright("key", BITS) % BITS == 0
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     keys = keys.where((F.col("n") > 1) & (low | (F.col("s0") < F.col("s1")))).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    found = rows.join(keys, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    # Spark takes the variants to be no larger than the fingerprints, so it is told not to broadcast them.
+    found = rows.hint("merge").join(keys, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     found = found.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "side", "fp")
     parts = found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
@@ -204,6 +205,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     linked = connected_components(fingerprint_links(classes.select("fp")), "a", "b")
     named = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = materialize(named, "named")
     least = named.groupBy("c").agg(F.min("least").alias("component"))
-    of_class = named.select("fp", "c").join(least, "c").select("fp", "component")
-    return rows.join(of_class, "fp").select("id", "fp", "component")
+    of_class = materialize(named.select("fp", "c").join(least, "c").select("fp", "component"), "components")
+    drop_materialized(classes, linked, named)
+    return rows.join(of_class.hint("merge"), "fp").select("id", "fp", "component")
