@@ -50,8 +50,10 @@ def instances(assertions: DataFrame, closed: DataFrame) -> DataFrame:
 def direct_instances(assertions: DataFrame, closed: DataFrame) -> DataFrame:
     """``(individual, cls)``: of an individual's asserted classes those with no other of them below."""
     own = assertions.select("individual", "cls").distinct()
-    below = closed.where("ancestor <> descendant").select(F.col("ancestor").alias("cls"), F.col("descendant").alias("lower"))
-    covered = own.join(below, "cls").join(own.select("individual", F.col("cls").alias("lower")), ["individual", "lower"], "left_semi")
+    # From each class up to what it covers: a class has few ancestors, but may have all individuals as descendants.
+    known = own.select(F.col("cls").alias("lower")).distinct()
+    above = closed.where("ancestor <> descendant").select(F.col("descendant").alias("lower"), F.col("ancestor").alias("cls")).join(known, "lower", "left_semi")
+    covered = own.select("individual", F.col("cls").alias("lower")).join(above, "lower")
     return own.join(covered.select("individual", "cls"), ["individual", "cls"], "left_anti")
 
 
