@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontospark.functions.text import edit_similarity
@@ -76,22 +78,32 @@ def match(candidates: DataFrame, source: DataFrame, target: DataFrame, scorer, b
     return exact.unionByName(top_per_source(scored, best).select(*PAIR, "score"))
 
 
-def one_hop(frontier: DataFrame, source_edges: DataFrame, target_edges: DataFrame) -> DataFrame:
-    """Pairs of parents, and pairs of children, of the mapped pairs in ``frontier``."""
+def one_hop(frontier: DataFrame, source_edges: DataFrame, target_edges: DataFrame, block: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of parents, and pairs of children, of the mapped pairs in ``frontier``.
+
+    ``block`` gives a key of an id: only pairs whose keys are equal are formed.
+    """
     out = []
     for near, far in (("child", "parent"), ("parent", "child")):
         s = edge_table(source_edges).select(F.col(near).alias("source"), F.col(far).alias("s"))
         t = edge_table(target_edges).select(F.col(near).alias("target"), F.col(far).alias("t"))
-        out.append(frontier.select(*PAIR).join(s, "source").join(t, "target").select(F.col("s").alias("source"), F.col("t").alias("target")))
+        if block:
+            s, t = s.withColumn("key", block(F.col("s"))), t.withColumn("key", block(F.col("t")))
+        met = frontier.select(*PAIR).join(s, "source").join(t, ["target", "key"] if block else "target")
+        out.append(met.select(F.col("s").alias("source"), F.col("t").alias("target")))
     return out[0].union(out[1]).distinct()
 
 
-def extend_mappings(mappings: DataFrame, source_edges: DataFrame, target_edges: DataFrame, scorer, kappa: float = 0.9, rounds: int = 10) -> DataFrame:
-    """``mappings`` and those found from them hop by hop: each new pair is scored once and goes on if it reaches ``kappa``."""
+def extend_mappings(mappings: DataFrame, source_edges: DataFrame, target_edges: DataFrame, scorer, kappa: float = 0.9, rounds: int = 10, block: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``mappings`` and those found from them hop by hop: each new pair is scored once and goes on if it reaches ``kappa``.
+
+    All pairs of the children of a mapped pair are scored, which is their product. ``block`` spares that where a
+    scorer allows it: a key of an id, such that ids of different keys are known to score below ``kappa``.
+    """
     known = materialize(mappings.select(*PAIR, "score"), "known")
     scored, frontier, found = known.select(*PAIR), known, [known]
     for _ in range(rounds):
-        new = one_hop(frontier, source_edges, target_edges).join(scored, PAIR, "left_anti")
+        new = one_hop(frontier, source_edges, target_edges, block).join(scored, PAIR, "left_anti")
         new = materialize(scorer(new).select(*PAIR, "score"), "scored")
         scored = scored.union(new.select(*PAIR))
         frontier = new.where(F.col("score") >= kappa)
