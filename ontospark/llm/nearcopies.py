@@ -120,6 +120,11 @@ def bitmaps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbers(df: DataFrame) -> np.ndarray:
+    """A column of longs, without a Python object for each."""
+    return df.toArrow().column(0).to_numpy().astype(np.int64)
+
+
 def _common_shingles(slim: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +134,7 @@ def _common_shingles(slim: DataFrame, width: int) -> np.ndarray:
     every = max(1, slim.count() // SAMPLE_DOCS)
     some = slim.select("text", "th").where(F.pmod("th", F.lit(every)) == 0).dropDuplicates(["th"]).select("text")  # copies are one class
     found = some.mapInArrow(lean(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+    return np.sort(_numbers(found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h")).view(np.uint64))
 
 
 _SETS = ["cls", "n", "fp", "prefix", *BITS]
@@ -194,11 +199,10 @@ def _prefix_table(slim: DataFrame, rows: DataFrame, common: np.ndarray, width: i
             if left < 0:
                 break
             least = r["b"]
-        found = new.where(F.floor(F.log2("m") * 8) >= least).select("key").collect() if k < ROUNDS and least < 1 << 30 else []
-        if not found:
+        heavy = _numbers(new.where(F.floor(F.log2("m") * 8) >= least).select("key")) if k < ROUNDS and least < 1 << 30 else []
+        if not len(heavy):
             return sets, keys
         drop_materialized(keys)
-        heavy = np.array([r["key"] for r in found], np.int64)
         common = np.union1d(common, heavy.view(np.uint64))
         shared, newly = spark.sparkContext.broadcast(common), spark.createDataFrame(pa.table({"key": pa.array(heavy)}), "key long")
         moved = materialize(_exploded(sets).join(F.broadcast(newly), "key", "left_semi").groupBy("cls").agg(F.count("*").alias("n")).select("cls"), "moved")

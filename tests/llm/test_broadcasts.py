@@ -26,3 +26,21 @@ def test_broadcasts_are_bounded(spark, own, held):
         assert spark.conf.get(STATIC) == own and spark.conf.get(MEASURED, None) is None
     finally:
         spark.conf.set(STATIC, before)
+
+
+def test_numbers_reach_the_driver_as_arrays(spark, monkeypatch):
+    # Shared passages make shingles common and keys heavy; both lists are as long as there are such.
+    from ontospark.llm import nearcopies
+
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(k, f"{text} own{k} " + " ".join(f"x{k}y{j}" for j in range(400))) for k in range(40)], "doc_id long, text string")
+    most, collect = [], type(docs).collect
+
+    def spy(self):
+        out = collect(self)
+        most.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", spy)
+    assert len(nearcopies._common_shingles(nearcopies._slim(docs, "doc_id", "text"), 5)) == 396
+    assert max(most, default=0) <= 1
