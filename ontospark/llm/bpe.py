@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ontospark.llm.words import chunks, lean
-from ontospark.runtime import drop_materialized, materialize, path_exists, remove_path, scratch_path
+from ontospark.runtime import batches_bounded, drop_materialized, materialize, path_exists, remove_path, scratch_path
 
 #: UTF-8 bytes of text per block, about; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -301,7 +301,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     blocks = slim.mapInArrow(lean(_coded_blocks(tokenizer_path, known, block_bytes, id_type)), _CODED)
     # Texts and rare words in folders of their own, as the words aren't needed for as long.
     path = scratch_path(spark, "blocks")
-    blocks.withColumn("kind", F.when(F.col("word").isNull(), "texts").otherwise("words")).write.mode("overwrite").partitionBy("kind").parquet(path)
+    with batches_bounded(spark):
+        blocks.withColumn("kind", F.when(F.col("word").isNull(), "texts").otherwise("words")).write.mode("overwrite").partitionBy("kind").parquet(path)
     both = spark.read.schema(blocks.schema).parquet
     rare = both(f"{path}/kind=words") if path_exists(spark, f"{path}/kind=words") else blocks.limit(0)
     coded = materialize(rare.select("block", "number", "word").join(words.select("word", "ids"), "word").select("block", "number", "ids"), "coded")

@@ -1,5 +1,6 @@
 """Tables that Spark takes for small are not sent to every task."""
 
+import pyarrow as pa
 import pytest
 
 from ontospark import runtime
@@ -44,3 +45,14 @@ def test_numbers_reach_the_driver_as_arrays(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", spy)
     assert len(nearcopies._common_shingles(nearcopies._slim(docs, "doc_id", "text"), 5)) == 396
     assert max(most, default=0) <= 1
+
+
+def test_batches_for_python_are_bounded(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat('abcdefgh', 250) as text")
+    found = runtime.materialize(texts.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r["n"] for r in found) == 6000 and max(r["size"] for r in found) < 1.1 * runtime.BATCH_BYTES
+    assert spark.conf.get(runtime._BATCH, None) is None
